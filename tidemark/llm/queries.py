@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import secret_scan
+from tidemark.llm import merkle, packing, secret_scan, source_mix, token_store
 from tidemark.llm.storage import read_table, scratch_path
 
 
@@ -50,9 +50,61 @@ FROM docs d LEFT JOIN digest USING (doc_id)
 """
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; ``name`` is looked up where the package has been installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a mixture of all sources takes."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", source_mix.word_count(F.col("text")).alias("size"))
+    return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to seekable zstandard files and read back."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_store.write_tokens(docs, scratch_path(spark, "tokens"), vocabulary("word_bpe_49k.json"))
+    return token_store.read_index(manifest)
+
+
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed to windows of 2048 tokens in the corpus's proportions of sources."""
+    docs = read_table(spark, sf_dir, "documents")
+    pieces = packing.pack(docs.select("doc_id", "source", "text"), vocabulary("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op9_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return merkle.fingerprint_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_OP9_WORD, _OP9_GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
+_OP9_LEAVES = rf"list_transform(regexp_extract_all({{0}}, '[^\n]*\n|[^\n]+'), lambda p: list_transform(regexp_extract_all(p, '{_OP9_GAP}*(?:{_OP9_WORD}{_OP9_GAP}*){{{{1,8}}}}|{_OP9_GAP}+'), lambda x: md5(x)[:16]))"
+_OP9_PRINT = (
+    "md5(array_to_string(list_transform(range(0, len({0}), 16), lambda k: md5(array_to_string(list_transform(({0})[k + 1 : k + 16], lambda p: md5(array_to_string(p, ''))[:16]), ''))[:16]), ''))[:16]"
+    " || ':' || array_to_string(list_transform(range(0, len({0}), 16), lambda k: md5(array_to_string(list_transform(({0})[k + 1 : k + 16], lambda p: md5(array_to_string(p, ''))[:16]), ''))[:16]), '')"
+    " || ':' || array_to_string(flatten({0}), '')"
+)
+_OP9_LIKE = "CASE WHEN len(list_distinct(flatten({0}) || flatten({1}))) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(list_distinct(flatten({0})), list_distinct(flatten({1}))))::DOUBLE / len(list_distinct(flatten({0}) || flatten({1}))) END"
+OP9_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+pairs AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nxt FROM docs WINDOW w AS (ORDER BY doc_id DESC)),
+edits AS (SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nxt, 1, length(t) // 2) AS e FROM pairs),
+trees AS (SELECT doc_id, length(t) AS n, sha256(e) AS h, {_OP9_LEAVES.format("t")} AS a, {_OP9_LEAVES.format("e")} AS b, {_OP9_LEAVES.format("nxt")} AS c FROM edits)
+SELECT doc_id, n::BIGINT AS n_chars, h AS edited_sha256, {_OP9_PRINT.format("a")} AS fingerprint, {_OP9_PRINT.format("b")} AS edited_fingerprint,
+  {_OP9_LIKE.format("a", "b")} AS near_edited, {_OP9_LIKE.format("a", "c")} AS near_next
+FROM trees
+"""
+
+
 def queries() -> dict:
-    return {"op1_secret_scan": op1_secret_scan}
+    found = (op1_secret_scan, op2_source_mix, op7_token_store, op8_mixture_packing, op9_merkle_fingerprint)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": OP1_SQL}
+    return {"op1_secret_scan": OP1_SQL, "op9_merkle_fingerprint": OP9_SQL}
