@@ -1,12 +1,90 @@
-"""Corpus pipeline: quality, near duplicates, secrets, mixture, packing."""
+"""Corpus pipeline: quality, near duplicates, secrets, mixture, packing.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), is
+judged on what its predecessor kept, and returns a DataFrame. All but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import jaccard_join, packing, quality, queries, secret_scan, source_mix
+from tidemark.llm.storage import read_table, scratch_path
 
-STAGES: list = []
+#: Packing is not expressible in SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps (rows with a NULL id are rejected: nothing can be said of them)."""
+    kept = quality.resample(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join stays: the one with the least id.
+
+    A document without words is linked with nothing and stays.
+    """
+    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark; n_chars follows the text."""
+    ledger = secret_scan.BlobLedger(spark, scratch_path(spark, "ledger"))
+    out = secret_scan.redact(docs, "doc_id", "text", ledger)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words the mixture takes: a row for each whole or partial copy of a document, none for documents not taken.
+
+    Only the document at which a source's share ends is cut, after so many words.
+    """
+    rows = docs.withColumn("__size", source_mix.word_count(F.col("text")))
+    taken = source_mix.mix(rows.select("doc_id", "source", F.col("__size").alias("size")))
+    taken = taken.groupBy("doc_id", "source", "size").agg(F.max("taken").alias("__taken")).where("__taken > 0")
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words"), "__taken")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words"))
+    copies = rows.join(taken.hint("shuffle_hash"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))))
+    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
+    words = F.regexp_extract_all("text", F.lit(source_mix.WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), left.cast("int")), "")
+    copies = copies.withColumn("text", F.when(left < F.col("__size"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        copies = copies.withColumn("n_chars", F.when(left < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return copies.select(docs.columns)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixture's documents in windows of 2048 tokens."""
+    pieces = packing.pack(docs.select("doc_id", "source", "text"), queries.vocabulary("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("secret scans", redact_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("packing", pack_windows),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; each result is written to the shared folder and read back."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        path = scratch_path(spark, f"stage{k}")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

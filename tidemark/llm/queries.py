@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import merkle, packing, secret_scan, source_mix, token_store
+from tidemark.llm import jaccard_join, media, merkle, packing, quality, secret_scan, sharding, source_mix, token_store, toxicity
 from tidemark.llm.storage import read_table, scratch_path
 
 
@@ -63,6 +63,29 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as media, sniffed, read back and digested."""
+    stored = media.store_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.media_features(stored).drop("declared", "corrected")
+
+
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document: 64 MB of text at most, by extendible hashing of the id."""
+    return sharding.shard(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return toxicity.classify(docs.select("doc_id", "text"), labels)
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by 5-word shingle sets of Jaccard similarity 0.75 or more."""
+    found = jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written to seekable zstandard files and read back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,6 +105,24 @@ def op9_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_edits(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents kept by importance resampling."""
+    docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality.resample(docs.select("doc_id", "text"), labels)
+
+
+# Every depth's buckets are summed, and a document goes to the shallowest that fits.
+OP4_SQL = """
+WITH sized AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS bits
+  FROM documents),
+sums AS (
+  SELECT d, bits >> (60 - d) AS prefix FROM sized, range(0, 41) r(d) GROUP BY 1, 2 HAVING sum(n_bytes) <= 67108864),
+placed AS (
+  SELECT s.*, (SELECT min(d) FROM sums u WHERE u.prefix = s.bits >> (60 - u.d)) AS depth FROM sized s)
+SELECT doc_id, n_bytes, substr(lpad(bin(bits), 60, '0'), 1, depth::INTEGER) AS shard, depth::INTEGER AS depth, 0::BIGINT AS part FROM placed
+"""
+
 _OP9_WORD, _OP9_GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 _OP9_LEAVES = rf"list_transform(regexp_extract_all({{0}}, '[^\n]*\n|[^\n]+'), lambda p: list_transform(regexp_extract_all(p, '{_OP9_GAP}*(?:{_OP9_WORD}{_OP9_GAP}*){{{{1,8}}}}|{_OP9_GAP}+'), lambda x: md5(x)[:16]))"
 _OP9_PRINT = (
@@ -102,9 +143,9 @@ FROM trees
 
 
 def queries() -> dict:
-    found = (op1_secret_scan, op2_source_mix, op7_token_store, op8_mixture_packing, op9_merkle_fingerprint)
+    found = (op1_secret_scan, op2_source_mix, op3_media_sniff, op4_extendible_sharding, op5_toxicity, op6_jaccard_join, op7_token_store, op8_mixture_packing, op9_merkle_fingerprint, op10_quality_resampling)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": OP1_SQL, "op9_merkle_fingerprint": OP9_SQL}
+    return {"op1_secret_scan": OP1_SQL, "op4_extendible_sharding": OP4_SQL, "op9_merkle_fingerprint": OP9_SQL}
