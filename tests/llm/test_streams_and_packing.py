@@ -79,7 +79,7 @@ def test_schedule_is_low_discrepancy(spark, small_docs):
     df = spark.createDataFrame([("a", 600), ("b", 300), ("c", 100)], "source string, size long")
     targets = source_mix.source_targets(df, weights=(1, 1, 1))
     want = {r["rank"]: r["target"] / 1000 for r in targets.collect()}
-    got = source_mix.schedule(spark, targets, 100_000, 100).orderBy("slot").collect()
+    got = source_mix.schedule(spark, targets, 1000, 1).orderBy("slot").collect()
     assert [r.slot for r in got] == list(range(1000))
     seen = Counter()
     for i, r in enumerate(got, 1):
@@ -136,7 +136,7 @@ def test_packing_keeps_proportions(spark, small_docs):
         run.update(so_far[k])
         done = sum(run.values())
         for s, t in total.items():
-            assert abs(run[s] - t * done / all_tokens) <= 3 * 16  # deficits stay within a turn or so
+            assert abs(run[s] - t * done / all_tokens) <= (1 + len(total) / 2) * 16  # each queue within a turn of the common counter
 
 
 def test_packing_nothing(spark, no_docs):
@@ -169,7 +169,7 @@ def test_token_store_reads_only_what_is_asked(spark, small_docs, no_docs):
     open(bad, "wb").write(bytes(raw))
     with pytest.raises(Exception):  # noqa: B017
         list(token_store.read_frames(bad))
-    assert len(list(token_store.read_frames(bad, [len(frames) - 1]))) == (len(frames) > 1)
+    assert len(frames) > 1 and len(list(token_store.read_frames(bad, [len(frames) - 1]))) == 1
     assert token_store.read_index(token_store.write_tokens(no_docs.select("doc_id", "text"), scratch_path(spark, "t"), vocab)).count() == 0
 
 

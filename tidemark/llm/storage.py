@@ -24,7 +24,6 @@ def shared_root(spark: SparkSession) -> str:
         if not (spark.sparkContext.master or "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/tidemark-scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
@@ -32,10 +31,10 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting its lineage."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -42,6 +42,7 @@ def ordered_cells(df: DataFrame, col: str, rows_per_cell: int, quantiles: int =
     shares = [i / quantiles for i in range(quantiles + 1)]
     n, marks = df.agg(F.count(col), F.percentile_approx(col, shares, 10_000)).first()
     bounds = sorted(set(marks or [0]))
+    bounds = bounds[:: max(1, len(bounds) * rows_per_cell // max(n, 1))]  # fewer cells than quantiles will do
     sub = max(1, math.ceil(math.ceil((n or 0) / rows_per_cell) / max(1, len(bounds) - 1)))
     edges = F.array(*[F.lit(int(b)) for b in bounds])
     steps = [2**k for k in range(max(1, len(bounds)).bit_length() - 1, -1, -1)]
