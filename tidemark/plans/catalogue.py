@@ -385,8 +385,37 @@ def smooth_gpssm_filter(rows):
     return smooth._grouped(parts.join(par(rows).drop("n_obs"), "series"), "chunk_id", given, 0)
 
 
+def _kim_sql() -> str:
+    """The two-regime recursion: four branches a step, joint weights, moment matching."""
+    pairs = [(i, j) for i in (0, 1) for j in (0, 1)]
+    ahead = ", ".join(f"mu{j} + keep * (m{i} - mu{j}) AS h{i}{j}, keep * keep * v{i} + q{j} * sc AS s{i}{j}" for i, j in pairs)
+    gain = ", ".join(f"s{i}{j} / (s{i}{j} + r{j}) AS g{i}{j}, z - h{i}{j} AS e{i}{j}" for i, j in pairs)
+    branch = ", ".join(
+        f"h{i}{j} + g{i}{j} * e{i}{j} AS b{i}{j}, (1 - g{i}{j}) * s{i}{j} AS c{i}{j}, p{i} * {0.95 if i == j else 0.05} * exp(-0.5 * e{i}{j} * e{i}{j} / (s{i}{j} + r{j})) / sqrt(2 * pi() * (s{i}{j} + r{j})) AS w{i}{j}" for i, j in pairs
+    )
+    total = "(w00 + w01 + w10 + w11)"
+    joint = ", ".join(f"CASE WHEN {total} > 0 THEN w{i}{j} / {total} ELSE 0.25 END AS j{i}{j}" for i, j in pairs)
+    mean = ", ".join(f"j0{j} + j1{j} AS n{j}, CASE WHEN j0{j} + j1{j} > 1e-300 THEN (j0{j} * b0{j} + j1{j} * b1{j}) / (j0{j} + j1{j}) ELSE mu{j} END AS y{j}" for j in (0, 1))
+    var = ", ".join(f"CASE WHEN n{j} > 1e-300 THEN (j0{j} * (c0{j} + power(y{j} - b0{j}, 2)) + j1{j} * (c1{j} + power(y{j} - b1{j}, 2))) / n{j} ELSE q{j} + r{j} END" for j in (0, 1))
+    keys = "series, chunk_id, i, ts, row_id, v, lm, lo, hi"
+    step = "SELECT n.series, n.chunk_id, n.i, n.ts, n.row_id, n.v, n.lm, n.lo, n.hi, n.mu0, n.mu1, n.q0, n.q1, n.r0, n.r1, n.z, k.p0, k.p1, k.m0, k.m1, k.v0, k.v1, greatest(n.dt / n.ref, 1e-6) AS sc, power(0.9, greatest(n.dt / n.ref, 1e-6)) AS keep FROM rec k JOIN kk n ON n.series = k.series AND n.chunk_id = k.chunk_id AND n.i = k.i + 1"
+    return (
+        _POSITIVE
+        + f""", l AS (SELECT *, ln(v) AS z FROM s WHERE v > 0), ld AS (SELECT series, z - lag(z) OVER {_W} AS d FROM l),
+cq AS (SELECT series, avg(z) AS lm, min(z) AS lo, max(z) AS hi, quantile_cont(z, 0.25) - avg(z) AS mu0, quantile_cont(z, 0.75) - avg(z) AS mu1 FROM l GROUP BY series),
+cn AS (SELECT series, greatest(power(1.4826 * mad(d) / sqrt(2.0), 2), 1e-4) AS r FROM ld GROUP BY series),
+sa AS (SELECT series, (us - lag(us) OVER {_W}) / 6e7 AS dt FROM s), cx AS (SELECT series, coalesce(median(dt) FILTER (dt > 0 AND dt < 180), 10.0) AS ref FROM sa GROUP BY series),
+kk AS (SELECT q.*, ln(v) - lm AS z, lm, lo, hi, mu0, mu1, r * 0.1 AS q0, r * 0.1 AS q1, r * 3 AS r0, r * 3 AS r1, ref FROM q JOIN n USING (series, chunk_id) JOIN cq USING (series) JOIN cn USING (series) JOIN cx USING (series)),
+rec AS (
+SELECT {keys}, 0.5::DOUBLE AS p0, 0.5::DOUBLE AS p1, z AS m0, z AS m1, q0 + r0 AS v0, q1 + r1 AS v1 FROM kk WHERE i = 1
+UNION ALL
+SELECT {keys}, n0, n1, y0, y1, {var} FROM (SELECT *, {mean} FROM (SELECT *, {joint} FROM (SELECT *, {branch} FROM (SELECT *, {gain} FROM (SELECT *, {ahead} FROM ({step}) f0) f1) f2) f3) f4) f5)
+SELECT series, row_id, ts, {_r("v", "value")}, chunk_id, {_r("exp(greatest(lo, least(hi, p0 * m0 + p1 * m1 + lm)))", "smoothed")} FROM rec"""
+    )
+
+
 for _m in smooth.SMOOTHERS:
-    _query(GROUP, f"smooth_{_m}")(lambda rows, m=_m: smooth.smooth(rows, m))
+    _query(GROUP, f"smooth_{_m}", _kim_sql() if _m == "kim" else None)(lambda rows, m=_m: smooth.smooth(rows, m))
 _query(GROUP, "smooth_smc")(lambda rows: smooth.smooth_smc(rows, 100, 25))
 _query(GROUP, "smoothing_log_kim")(lambda rows: smooth.smoothing_log(rows, smooth.smooth(rows, "kim")))
 _query(GROUP, "dglm_forecast")(smooth.forecast)
@@ -394,7 +423,14 @@ _query(GROUP, "tune_n_m")(lambda rows: smooth.tune(rows, most=60))
 
 # -- profiles and verdicts ----------------------------------------------------------
 
-_query(KIND, "kde_modes")(profile.kde_modes)
+_query(
+    KIND,
+    "kde_modes",
+    """, w AS (SELECT series, min(v) AS lo, max(v) AS hi, stddev_samp(v) * power(count(*), -0.2) AS h FROM s GROUP BY series),
+k AS (SELECT w.series, i, sum(exp(-0.5 * power((lo + (hi - lo) * i / 99 - v) / h, 2))) AS y FROM w JOIN s USING (series), range(0, 100) t(i) GROUP BY ALL),
+p AS (SELECT series, y > lag(y) OVER (PARTITION BY series ORDER BY i) AND y > lead(y) OVER (PARTITION BY series ORDER BY i) AS up FROM k)
+SELECT series, count(*) FILTER (up)::INTEGER AS modes FROM p GROUP BY series""",
+)(profile.kde_modes)
 _query(KIND, "welch_bands")(profile.spectrum)
 _query(KIND, "gmm_bic")(lambda rows: profile.mixture(rows).drop("means", "weights"))
 _query(KIND, "adf_test")(profile.unit_root)
