@@ -119,6 +119,20 @@ def centred_mean(rows: DataFrame, width: int = DAY_ROWS, least: int = 36, short:
     return rows.withColumn("trend", F.coalesce(long, F.avg("value").over(over(short))))
 
 
+def rolling_band(rows: DataFrame, width: int = DAY_ROWS, least: int = 36) -> DataFrame:
+    """Adds band_mean and band_std (sample deviation) of the ``width`` rows around a row, NULL with fewer than ``least`` values."""
+    over = ordered().rowsBetween(-(width // 2), width // 2 - 1)
+    enough = F.count("value").over(over) >= least
+    return rows.withColumn("band_mean", F.when(enough, F.avg("value").over(over))).withColumn("band_std", F.when(enough, F.stddev_samp("value").over(over)))
+
+
+def normal_scores(rows: DataFrame) -> DataFrame:
+    """Plot data of a normal quantile plot: (series, row_id, value, share), share the plotting position (i - 1/2) / n."""
+    by_value = Window.partitionBy("series").orderBy("value", "us", "row_id")
+    n = F.count("*").over(Window.partitionBy("series"))
+    return rows.where(observed()).select("series", "row_id", "value", ((F.row_number().over(by_value) - 0.5) / n).alias("share"))
+
+
 def densest_window(rows: DataFrame, days: int = 3) -> DataFrame:
     """(series, window_start, window_end, n): the first time range of ``days`` (open at its start) with most values."""
     span = days * 24 * 60 * MINUTE

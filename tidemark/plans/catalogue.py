@@ -209,6 +209,35 @@ def centred_ma_backfill(rows):
     return describe.centred_mean(gaps.gap_fill(rows)).select("series", "ts", "row_id", "gap_flag", "trend")
 
 
+@_query(
+    GROUP,
+    sql=_GRID
+    + f""" SELECT series, ts, row_id, {_r("CASE WHEN count(v) OVER w >= 36 THEN avg(v) OVER w END", "band_mean")}, {_r("CASE WHEN count(v) OVER w >= 36 THEN stddev_samp(v) OVER w END", "band_std")} FROM g
+WINDOW w AS (PARTITION BY series ORDER BY us, row_id ROWS BETWEEN 72 PRECEDING AND 71 FOLLOWING)""",
+)
+def rolling_bands(rows):
+    return describe.rolling_band(gaps.gap_fill(rows)).select("series", "ts", "row_id", "band_mean", "band_std")
+
+
+@_query(KIND, sql=f" SELECT series, row_id, {_r('v', 'value')}, {_r('(row_number() OVER (PARTITION BY series ORDER BY v, us, row_id) - 0.5) / count(*) OVER (PARTITION BY series)', 'share')} FROM s")
+def normal_scores(rows):
+    return describe.normal_scores(rows)
+
+
+@_query(USER, sql=_CHUNKS + ", n AS (SELECT series, chunk_id, count(*) AS n FROM ch GROUP BY ALL) SELECT CASE WHEN n >= 10 THEN 'success' ELSE 'failed' END AS status, count(*) AS n_chunks FROM n GROUP BY ALL")
+def chunk_status_counts(rows):
+    """How many chunks are long enough to be smoothed."""
+    sizes = gaps.chunks(rows).groupBy("series", "chunk_id").agg(F.count("*").alias("n"))
+    return sizes.groupBy(F.when(F.col("n") >= smooth.LEAST_ROWS, "success").otherwise("failed").alias("status")).agg(F.count("*").alias("n_chunks"))
+
+
+@_query(GROUP, sql=_GRID + f" SELECT series, ts, row_id, gap_flag, {_r('CASE WHEN gap_flag = 0 THEN avg(v) OVER x END', 'trend')} FROM g WINDOW x AS (PARTITION BY series ORDER BY us, row_id ROWS BETWEEN 18 PRECEDING AND 17 FOLLOWING)")
+def blank_gap_trend(rows):
+    """A short centred mean, blank in gaps."""
+    grid = describe.centred_mean(gaps.gap_fill(rows), 36, 1, 36)
+    return gaps.blank_gaps(grid, ["trend"]).select("series", "ts", "row_id", "gap_flag", "trend")
+
+
 @_query(
     USER,
     sql=""", c AS (SELECT *, count(*) OVER (PARTITION BY series ORDER BY us RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW) AS n FROM s)
@@ -356,6 +385,7 @@ def cpd_markers_union(rows):
 
 for _m in ("kcp", "hmm", "bocpd_run_length"):
     _query(GROUP, f"cpd_{_m}")(lambda rows, m=_m: detect.detect(rows, m))
+_query(GROUP, "annotation_log")(lambda rows: detect.annotation_log(detect.detect(rows)))
 _query(GROUP, "annotate_kim")(lambda rows: detect.annotate(smooth.smooth(rows, "kim")))
 
 # -- smoothers --------------------------------------------------------------------
