@@ -20,14 +20,16 @@ Cells of common shingles come last in the order. How common a shingle is, is
 counted over all documents in a fixed number of counters; the order only decides
 how many candidates there are, never which links are found.
 
-Copies are one class throughout. Large groups that share a cell are not expanded:
-each class is compared with the group's least class, and only classes that are
-then still in different components with each other.
+Copies are one class throughout. Groups that share a cell are not expanded to
+pairs: every class is compared with the group's leader, the least class. Where
+classes of a group are then in several components, a few classes outside its
+largest component lead next and are compared with all others, until the classes
+that have not led are in one component.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -43,6 +45,8 @@ COMMON = 0.002
 #: Below this many members a cell is one member.
 SINGLE = 64
 SALTS = 64
+#: Classes that lead a group at once after the first; four times as many each round, up to the last.
+LEADERS = (64, 256, 1024)
 _U = np.uint64
 
 
@@ -201,19 +205,59 @@ def _candidates(docs: DataFrame, common: list, percent: int) -> DataFrame:
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """(key, cls, leader) of the keys that two classes or more have.
+    """(key, part, cls, leader, third) of the keys that two classes or more have; third: there are more than two.
 
     A key of common shingles may hold a third of all classes: its rows are dealt
-    to ``SALTS`` parts by class, and only the extremes of the parts meet.
+    to ``SALTS`` parts by class, each with the least class as leader.
     """
-    salt = F.when(F.col("hot"), F.pmod("cls", F.lit(SALTS))).otherwise(0)
-    part = Window.partitionBy("key", "salt")
-    rows = rows.withColumn("salt", salt).select("key", "salt", "cls", "hot", F.min("cls").over(part).alias("leader"), F.max("cls").over(part).alias("last"))
-    rows = materialize(rows.where("hot OR leader <> last").groupBy("key", "salt", "cls", "leader", "last").agg(F.first("hot").alias("hot")), "parts")
-    rare = rows.where("NOT hot").select("key", "cls", "leader")
-    hot = rows.where("hot")
-    ends = hot.groupBy("key").agg(F.min("leader").alias("leader"), F.max("last").alias("last")).where("leader <> last")
-    return rare.unionByName(hot.select("key", "cls").join(ends, "key").select("key", "cls", "leader"))
+    part = F.when(F.col("hot"), F.pmod("cls", F.lit(SALTS))).otherwise(-1)
+    by_part = Window.partitionBy("key", "part")
+    rows = rows.withColumn("part", part).select("key", "part", "cls", F.min("cls").over(by_part).alias("leader"), F.max("cls").over(by_part).alias("last"))
+    rows = rows.withColumn("third", F.max((F.col("cls") != F.col("leader")) & (F.col("cls") != F.col("last"))).over(by_part))
+    return materialize(rows.where("part >= 0 OR leader <> last").select("key", "part", "cls", "leader", "third").distinct(), "groups")
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    """(a, b): every class with its part's leader, and the leaders of a key's parts (``SALTS`` at most) with the least of them."""
+    own = groups.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
+    tops = groups.where("part >= 0 AND cls = leader").groupBy("key").agg(F.collect_set("leader").alias("tops")).where(F.size("tops") > 1)
+    tops = tops.select(F.array_min("tops").alias("a"), F.explode(F.array_except("tops", F.array(F.array_min("tops")))).alias("b"))
+    return own.unionByName(tops).distinct()
+
+
+def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """``rows`` (key, cls, done) with ``c``, the component of the class (itself without links).
+
+    The labels travel as rows of their own and are spread by a window over the
+    class, which holds one set's keys, so no join has to carry a large group.
+    """
+    marks = comp.select(F.lit(None).cast("long").alias("key"), F.col("node").alias("cls"), F.lit(None).cast("boolean").alias("done"), F.col("component").alias("c"))
+    both = rows.withColumn("c", F.lit(None).cast("long")).unionByName(marks)
+    both = both.withColumn("c", F.coalesce(F.max("c").over(Window.partitionBy("cls")), "cls"))
+    return both.where("done IS NOT NULL")
+
+
+def _challenge(rows: DataFrame, comp: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """(rows still open with the new leaders done, pairs (a, b) of leaders and classes of other components).
+
+    A key is open while the classes that have not led it are in two components or
+    more: all other pairs across components have been compared, or would join what
+    is joined. ``leaders`` classes outside a key's largest component lead it next.
+    """
+    key = Window.partitionBy("key")
+    rows = _labelled(rows, comp)
+    fresh = F.when(~F.col("done"), F.col("c"))
+    rows = rows.withColumn("lo", F.min(fresh).over(key)).withColumn("hi", F.max(fresh).over(key)).where("lo <> hi")
+    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("key", "c")))
+    rows = rows.withColumn("large", F.max(F.struct("size", "c")).over(key)["c"])
+    may = ~F.col("done") & (F.col("c") != F.col("large"))
+    rows = rows.withColumn("may", may).withColumn("rank", F.row_number().over(key.orderBy(F.col("may").desc(), "cls")))
+    rows = rows.withColumn("leads", F.col("may") & (F.col("rank") <= leaders))
+    rows = rows.withColumn("leaders", F.collect_list(F.when(F.col("leads"), F.col("cls"))).over(key))
+    rows = materialize(rows.select("key", "cls", (F.col("done") | F.col("leads")).alias("done"), "leaders"), "open")
+    met = rows.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))
+    pairs = met.select("cls", F.explode("leaders").alias("leader")).where("cls <> leader")
+    return rows.select("key", "cls", "done"), pairs.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
 
 
 def _prune(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -281,20 +325,19 @@ def jaccard_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFr
     common = profiles.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("times").alias("times")).where(F.col("times") >= max(3, COMMON * n_docs)).collect()
     classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    groups = materialize(_groups(_candidates(docs.where("doc_id IS NOT NULL"), common, percent)), "groups")
-    stars = groups.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
-    links = materialize(_verify(_prune(stars, classes, percent), docs, percent), "links")
-    # Classes of one group that the leader has not joined together.
-    comp = materialize(connected_components(links), "comp")
-    part = groups.join(comp.select(F.col("node").alias("cls"), F.col("component").alias("c")), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
-    part = materialize(part.join(classes.select("cls", "n"), "cls"), "part")
-    open_keys = part.where("cls <> leader").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = part.where("cls <> leader").join(open_keys, "key", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    fits = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    more = materialize(_verify(_prune(rest, classes, percent), docs, percent), "links")
-    return members, classes, links.unionByName(more)
+    groups = _groups(_candidates(docs.where("doc_id IS NOT NULL"), common, percent))
+    links = materialize(_verify(_prune(_stars(groups), classes, percent), docs, percent), "links")
+    # A pair of classes has been compared already; so has a rare key's leader with all others.
+    rows = groups.where("part >= 0 OR third").select("key", "cls", (F.col("part") < 0).alias("rare"), "leader").select("key", "cls", (F.col("rare") & (F.col("cls") == F.col("leader"))).alias("done"))
+    comp, count = materialize(connected_components(links), "comp"), links.count()
+    for leaders in itertools.chain(LEADERS, itertools.repeat(LEADERS[-1])):
+        rows, pairs = _challenge(rows, comp, leaders)
+        if rows.isEmpty():
+            return members, classes, links
+        links = materialize(links.unionByName(_verify(_prune(pairs, classes, percent), docs, percent)).distinct(), "links")
+        if links.count() > count:
+            comp, count = materialize(connected_components(links), "comp"), links.count()
+    raise AssertionError("every round closes keys or names leaders")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
