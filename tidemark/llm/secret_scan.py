@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -156,7 +158,10 @@ class BlobLedger:
 def scan_paths(versions: DataFrame, path_col: str, text_col: str, ledger: BlobLedger) -> DataFrame:
     """One row per row of ``versions``: path, blob_id, n_<kind> and ``found`` array<struct<start,o,end,label>> (empty: nothing found)."""
     keyed = ledger.update(versions, path_col, text_col)
-    joined = keyed.join(ledger.digest(), "blob_id", "left")
+    # Written first, so that the join's both sides are exchanges of their own and a
+    # group of copies that holds many paths can be split.
+    digest = materialize(ledger.digest(), "digest")
+    joined = keyed.join(digest, "blob_id", "left")
     empty = F.array().cast("array<struct<start:bigint,o:int,end:bigint,label:string>>")
     return joined.select("path", "blob_id", *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in ledger.rules], F.coalesce("found", empty).alias("found"))
 
