@@ -185,7 +185,9 @@ def read_index(manifest: DataFrame, batch: int = 2048) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "cell", "local", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("cell", "path", "doc_ids").repartition(F.col("path"))
+    # A number of its own, since a few small manifest rows stand for much to read.
+    tasks = max(1, min(100_000, manifest.count() // 4))
+    files = manifest.select("cell", "path", "doc_ids").repartition(tasks, "path")
     rows = files.mapInArrow(read, "doc_id long, cell long, local long, n_tokens long, ids_crc32 long")
     return rows.join(bases, "cell").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
