@@ -111,6 +111,15 @@ def test_chunks_do_not_touch_each_other(spark):
     assert par and np.abs(both.smoothed - swapped.smoothed).max() < 3
 
 
+def test_tuning_query_takes_the_longest_island_whole(spark, tmp_path, monkeypatch):
+    data = [(i, T0 + dt.timedelta(minutes=10 * i), 3, "view", 40.0 + i % 7) for i in range(560)]
+    spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    taken, cut = [], gaps.longest_segment
+    monkeypatch.setattr(gaps, "longest_segment", lambda grid, most: taken.append(cut(grid, most)) or taken[-1])
+    catalogue.queries()["tune_n_m"](spark, str(tmp_path))
+    assert [seg.count() for seg in taken] == [500]
+
+
 def test_annotation_and_markers(spark, events):
     rows = SeriesSpec("user_id").normalise(spark.read.parquet(f"{events}/events.parquet"))
     done = detect.annotate(smooth.smooth(rows, "kim"))

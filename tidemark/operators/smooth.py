@@ -173,7 +173,9 @@ def tune(rows: DataFrame, most: int = 500, least: int = 50) -> DataFrame:
         n, m, a, b = filters.tune_smc(pdf["t"].to_numpy(float), pdf["value"].to_numpy(float), {c: float(pdf[c].iloc[0]) for c in names})
         return pd.DataFrame({"series": pdf["series"].iloc[:1], "n_star": [n], "m_star": [m], "n_converged": [a], "m_converged": [b]})
 
-    found = good.select("series", "row_id", "us", "t", "value", *names).groupBy("series").applyInPandas(run, f"series {key}, n_star int, m_star int, n_converged boolean, m_converged boolean")
+    # A number of partitions of its own, as small rows would be merged into one task although each series takes long.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = good.select("series", "row_id", "us", "t", "value", *names).repartition(tasks, "series").groupBy("series").applyInPandas(run, f"series {key}, n_star int, m_star int, n_converged boolean, m_converged boolean")
     log = sized.join(calibrate.bounds(rows).select("series", (F.col("hi") - F.col("lo")).alias("__range")), "series").join(found, "series", "left")
     reason = F.when(F.col("n_used") < least, f"Segment too short (<{least} rows)").when(F.col("__range") < 1, "observed range too narrow for bounded model")
     return log.select("series", F.when(reason.isNull(), "success").otherwise("failed").alias("status"), reason.alias("reason"), "n_star", "m_star", "n_converged", "m_converged")

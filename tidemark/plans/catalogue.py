@@ -449,7 +449,7 @@ for _m in smooth.SMOOTHERS:
 _query(GROUP, "smooth_smc")(lambda rows: smooth.smooth_smc(rows, 100, 25))
 _query(GROUP, "smoothing_log_kim")(lambda rows: smooth.smoothing_log(rows, smooth.smooth(rows, "kim")))
 _query(GROUP, "dglm_forecast")(smooth.forecast)
-_query(GROUP, "tune_n_m")(lambda rows: smooth.tune(rows, most=60))
+_query(GROUP, "tune_n_m")(smooth.tune)
 
 # -- profiles and verdicts ----------------------------------------------------------
 
