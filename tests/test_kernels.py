@@ -116,6 +116,22 @@ def test_kernel_breaks_are_the_cheapest():
     assert changes.kernel_breaks(v, pen, least) == want[::-1]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 50, 51, 2500])
+def test_kernel_scale_is_the_median_of_all_pairs(n):
+    rng = np.random.default_rng(n)
+    # The first 2000 rows differ from the rest in level and variance; there are ties.
+    for v in (np.r_[rng.normal(40, 1, n), rng.normal(90, 20, n // 2)], np.round(rng.normal(0, 2, n)), np.full(n, 5.0)):
+        d = np.subtract.outer(v, v)[np.triu_indices(len(v), 1)] ** 2
+        assert changes.median_squared_distance(v) == (np.median(d) if len(d) else 0.0)
+
+
+def test_breaks_see_the_scale_of_the_whole_chunk():
+    rng = np.random.default_rng(0)
+    v = np.r_[rng.normal(40, 100, 2000), rng.normal(40, 0.3, 2500), rng.normal(44, 0.3, 2500)]
+    # At the scale of the first 2000 rows the step of four is none.
+    assert any(abs(at - 4500) < 3 for at in changes.kernel_breaks(v))
+
+
 def test_welch_keeps_variance_and_finds_the_period():
     rng = np.random.default_rng(1)
     x = np.sin(2 * np.pi * np.arange(2880) / 144) + 0.1 * rng.normal(size=2880)

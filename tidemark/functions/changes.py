@@ -44,6 +44,37 @@ def bocpd_run_length(t, v, hazard: float = 1 / 150, recent: int = 10, most: int
     return types, degrees
 
 
+def median_squared_distance(v: np.ndarray) -> float:
+    """Median of the squared differences of all pairs, exactly, in memory linear in the rows (0 without pairs).
+
+    The k-th least difference is found by bisection over the bit patterns of
+    non-negative doubles, which are in the order of the doubles.
+    """
+    x = np.sort(np.asarray(v, float))
+    n, pairs = len(x), len(v) * (len(v) - 1) // 2
+    if not pairs:
+        return 0.0
+    rows = np.arange(n)
+
+    def within(limit):
+        # searchsorted rounds x + limit; the neighbours are set right by the differences themselves.
+        stop = np.searchsorted(x, x + limit, side="right")
+        while (more := (stop < n) & (x[np.minimum(stop, n - 1)] - x <= limit)).any():
+            stop = np.where(more, np.searchsorted(x, x[np.minimum(stop, n - 1)], side="right"), stop)
+        while (less := x[stop - 1] - x > limit).any():
+            stop = np.where(less, np.searchsorted(x, x[stop - 1], side="left"), stop)
+        return int((stop - rows - 1).sum())
+
+    def kth(k):
+        lo, hi = 0, int(np.float64(x[-1] - x[0]).view(np.int64))
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if within(np.int64(mid).view(np.float64)) >= k else (mid + 1, hi)
+        return float(np.int64(lo).view(np.float64))
+
+    return (kth((pairs + 1) // 2) ** 2 + kth(pairs // 2 + 1) ** 2) / 2
+
+
 def kernel_breaks(v: np.ndarray, penalty: float = 4.0, least: int = 3) -> list[int]:
     """Starts of new segments under the penalised Gaussian-kernel cost, exactly, with pruning.
 
@@ -51,8 +82,7 @@ def kernel_breaks(v: np.ndarray, penalty: float = 4.0, least: int = 3) -> list[i
     column to column, so memory is linear in the rows.
     """
     n = len(v)
-    gaps = np.subtract.outer(v[:2000], v[:2000])[np.triu_indices(min(n, 2000), 1)] ** 2
-    scale = np.median(gaps) if len(gaps) and np.median(gaps) > 0 else 1.0
+    scale = median_squared_distance(v) or 1.0
     best, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
     block, open_starts = np.zeros(n), np.array([0])
