@@ -120,6 +120,14 @@ def test_tuning_query_takes_the_longest_island_whole(spark, tmp_path, monkeypatc
     assert [seg.count() for seg in taken] == [500]
 
 
+def test_particle_query_uses_the_published_numbers(spark, events, monkeypatch):
+    held, grouped = [], smooth._grouped
+    monkeypatch.setattr(smooth, "_grouped", lambda parts, part, smoother, seed: held.append(smoother) or grouped(parts, part, smoother, seed))
+    monkeypatch.setattr(smooth.filters, "smooth_smc", lambda t, v, p, seed, n, paths: (n, paths))
+    catalogue.queries()["smooth_smc"](spark, events)
+    assert [s.run(None, None, None, 0) for s in held] == [(250, 50)]
+
+
 def test_annotation_and_markers(spark, events):
     rows = SeriesSpec("user_id").normalise(spark.read.parquet(f"{events}/events.parquet"))
     done = detect.annotate(smooth.smooth(rows, "kim"))

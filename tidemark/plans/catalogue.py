@@ -446,7 +446,7 @@ SELECT series, row_id, ts, {_r("v", "value")}, chunk_id, {_r("exp(greatest(lo, l
 
 for _m in smooth.SMOOTHERS:
     _query(GROUP, f"smooth_{_m}", _kim_sql() if _m == "kim" else None)(lambda rows, m=_m: smooth.smooth(rows, m))
-_query(GROUP, "smooth_smc")(lambda rows: smooth.smooth_smc(rows, 100, 25))
+_query(GROUP, "smooth_smc")(smooth.smooth_smc)
 _query(GROUP, "smoothing_log_kim")(lambda rows: smooth.smoothing_log(rows, smooth.smooth(rows, "kim")))
 _query(GROUP, "dglm_forecast")(smooth.forecast)
 _query(GROUP, "tune_n_m")(smooth.tune)
