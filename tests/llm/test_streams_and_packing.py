@@ -88,6 +88,19 @@ def test_schedule_is_low_discrepancy(spark, small_docs):
         assert all(abs(seen[s] - share * i) < 6 for s, share in want.items())
 
 
+def test_mix_gives_tiny_sources_beside_a_huge_one_their_targets(spark, shared):
+    huge = [(i, "huge", 1_000_000) for i in range(80)]
+    tiny = [(1000 + i, f"tiny{i:02}", 60 + 20 * i) for i in range(12)]
+    df = spark.createDataFrame(huge + tiny + [(2000, "two blocks", 700)], "doc_id long, source string, size long")
+    got = source_mix.mix(df).collect()
+    taken, target = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert len(target) == 14 and min(target.values()) >= 60
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 1, (s, taken[s], t)
+
+
 def test_mix_repeated_rows_and_no_rows(spark, no_docs):
     df = spark.createDataFrame([(1, "a", 50)] * 3 + [(2, None, 0)] * 2 + [(None, "b", 10)], "doc_id long, source string, size long")
     got = source_mix.mix(df).collect()

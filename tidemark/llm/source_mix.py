@@ -53,32 +53,55 @@ def _point(i: Column) -> Column:
     return ((high * GOLDEN) % (1 << 32) * 65536 + low * GOLDEN + (1 << 31)) % (1 << 32)
 
 
+def _quota(block: int) -> Column:
+    """Blocks a source's target asks for; the last may be partial."""
+    return F.ceil(F.round("target") / block).cast("long")
+
+
+def _ranked(placed: DataFrame) -> DataFrame:
+    """``placed`` (slot, source_rank) with ``block``, the rank of the slot in its source.
+
+    Ranks in two levels: within a run of slots, after the counts of the runs before.
+    """
+    placed = placed.select("slot", "source_rank", F.floor(F.col("slot") / RUN).alias("run"))
+    runs = placed.groupBy("source_rank", "run").agg(F.count("*").alias("n"))
+    prior = Window.partitionBy("source_rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("source_rank", "run", F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("source_rank", "run").orderBy("slot")
+    return placed.withColumn("r", F.row_number().over(inner) - 1).join(runs, ["source_rank", "run"]).select("slot", "source_rank", (F.col("base") + F.col("r")).alias("block"))
+
+
 def schedule(spark, targets: DataFrame, total: int, block: int, cells: int = 4096) -> DataFrame:
     """(slot, source_rank, block): which block of which source fills each slot.
 
-    A guide table of ``cells`` equal parts of the unit interval names the sources
-    that reach into each part, so mapping a point is an equi-join.
+    Every source has as many slots as its target asks for. A guide table of
+    ``cells`` equal parts of the unit interval names the sources that reach into
+    each part, so mapping a point is an equi-join. The points miss a source's
+    number by a few at most; the slots that some sources have too many go to the
+    sources that have too few.
     """
-    slots = max(1, round(total / block)) if total else 0
-    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    scale = (1 << 32) / max(total, 1)
-    shares = targets.select(
-        F.col("rank").alias("source_rank"),
-        F.round(F.coalesce(F.sum("target").over(before), F.lit(0.0)) * scale).cast("long").alias("lo"),
-        F.round(F.sum("target").over(upto) * scale).cast("long").alias("hi"),
+    quotas = targets.select(F.col("rank").alias("source_rank"), _quota(block).alias("quota"))
+    slots = (quotas.agg(F.sum("quota")).first()[0] or 0) if total else 0
+    before = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, 0)
+    scale = (1 << 32) / max(slots, 1)
+    shares = quotas.select(
+        "source_rank",
+        F.round(F.coalesce(F.sum("quota").over(before), F.lit(0)) * scale).cast("long").alias("lo"),
+        F.round(F.sum("quota").over(upto) * scale).cast("long").alias("hi"),
     ).where("hi > lo")
     width = (1 << 32) // cells
     guide = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     points = spark.range(slots).select(F.col("id").alias("slot"), _point(F.col("id")).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") / width))
-    placed = points.join(guide, "cell").where("u >= lo AND u < hi").select("slot", "source_rank", F.floor(F.col("slot") / RUN).alias("run"))
-    # Ranks in two levels: within a run of slots, after the counts of the runs before.
-    runs = placed.groupBy("source_rank", "run").agg(F.count("*").alias("n"))
-    prior = Window.partitionBy("source_rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("source_rank", "run", F.coalesce(F.sum("n").over(prior), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("source_rank", "run").orderBy("slot")
-    return placed.withColumn("r", F.row_number().over(inner) - 1).join(runs, ["source_rank", "run"]).select("slot", "source_rank", (F.col("base") + F.col("r")).alias("block"))
+    placed = materialize(_ranked(points.join(guide, "cell").where("u >= lo AND u < hi")), "placed")
+    over = placed.join(F.broadcast(quotas), "source_rank").where("block >= quota").select("slot", F.row_number().over(Window.orderBy("slot")).alias("k"))
+    have = placed.groupBy("source_rank").agg(F.count("*").alias("n"))
+    short = quotas.join(have, "source_rank", "left").withColumn("short", F.col("quota") - F.coalesce("n", F.lit(0))).where("short > 0")
+    short = short.select("source_rank", F.explode(F.sequence(F.lit(1).cast("long"), "short")).alias("i"))
+    moved = over.join(short.select(F.col("source_rank").alias("to"), F.row_number().over(Window.orderBy("i", "source_rank")).alias("k")), "k").select("slot", "to")
+    placed = placed.join(F.broadcast(moved), "slot", "left").select("slot", F.coalesce("to", "source_rank").alias("source_rank"))
+    return _ranked(placed)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", weights=(5, 2, 1), max_repeat: int = 3, seed: int = 17, resolution: int = 100_000, max_block: int = 4096) -> DataFrame:
@@ -86,7 +109,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights=(5, 2, 1), max_repeat:
 
     ``docs`` has ``id_col``, ``source`` and ``size`` (long words); the result adds
     source_rank, source_size, target and taken, one row a row of ``docs``. A block
-    is a ``resolution``-th of all words, at most ``max_block`` words. NULL source
+    is a ``resolution``-th of all words, at most ``max_block`` words; a source's
+    last block ends at its target, so each source gives its target. NULL source
     is a source of its own, a NULL id an id like any other; repeated rows are
     separate documents; documents without words are taken 0 times; no rows, no
     result.
@@ -106,8 +130,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights=(5, 2, 1), max_repeat:
     start = F.col("epoch") * F.col("source_size") + F.col("at")
     rows = rows.withColumn("start", start).withColumn("stop", start + F.col("size"))
     pieces = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)))))
-    words = F.least("stop", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    pieces = pieces.withColumn("words", F.coalesce(words, F.lit(0)))
+    words = F.least("stop", (F.col("block") + 1) * block, F.round("target").cast("long")) - F.greatest("start", F.col("block") * block)
+    pieces = pieces.withColumn("words", F.greatest(words, F.lit(0)))
     slots = schedule(spark, targets, total, block)
     joined = pieces.join(slots, ["source_rank", "block"], "left")
     keys = ["source_rank", "at", "h", "doc_id", "source", "size", "source_size", "target"]
