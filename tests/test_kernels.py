@@ -56,6 +56,32 @@ def test_switching_filter_with_equal_regimes_is_a_kalman_filter():
     assert got == pytest.approx(filters.smooth_linear(t, z, 1.0, 0.02, 0.05, 10.0), abs=1e-9)
 
 
+def test_regime_filter_agrees_with_the_exact_law():
+    """Without the harmonic the law is that of a regime and a level: summed over a fine grid."""
+    rng = np.random.default_rng(5)
+    t = np.cumsum(rng.uniform(5, 30, 60))
+    mu, spread, sigma, stay, tau, share, lo, hi = np.array([-1.0, 1.0]), 0.8, 4.0, 0.9, 200.0, 0.3, 0.0, 100.0
+    y = np.where(np.arange(60) // 20 == 1, 70, 30) + rng.normal(0, 4, 60)
+    x = np.linspace(-5, 5, 1201)
+    bell = lambda d, sd: np.exp(-0.5 * (d / sd) ** 2)
+    p = bell(x - mu[:, None], 0.5 * spread) / 2
+    want = []
+    for i in range(60):
+        if i:
+            dt = t[i] - t[i - 1]
+            p = np.array([[stay, 1 - stay], [1 - stay, stay]]) @ p
+            for j in range(2):
+                move = bell(x[:, None] - (mu[j] + math.exp(-dt / tau) * (x - mu[j])), share * spread * math.sqrt(dt / 10))
+                p[j] = (move / move.sum(axis=0)) @ p[j]
+        shown = lo + (hi - lo) / (1 + np.exp(-x))
+        p = p * bell(y[i] - shown, sigma)
+        p /= p.sum()
+        want.append((p * shown).sum())
+    got, level = filters.smooth_regimes(t, y, lo, hi, mu, spread, sigma, 0.0, 3, n=6000, stay=stay, tau=tau, level_share=share, season=0.0)
+    miss = np.abs(got - want)
+    assert miss.mean() < 0.15 and miss.max() < 3 and np.array_equal(got, level), miss  # few particles live through a jump
+
+
 def test_smc_agrees_with_the_truth():
     t, v = signal(60)
     par = {"lo": 10.0, "hi": 90.0, "z_level_loc": 0.0, "z_level_scale": 0.5, "z_seas_scale": 0.3, "sigma_obs": 6.0, "sigma_level": 0.05, "sigma_seas": 0.01, "omega1": 2 * math.pi / 144, "omega2": 4 * math.pi / 144}
