@@ -2,18 +2,21 @@
 
 A text is cut only where the tokenizer's own pre-tokenizer always ends a piece,
 so ids of the parts are the ids of the whole. Each distinct part is encoded
-once by the library; its ids are kept as little-endian bytes.
+once by the library, words of letters by its model alone, and its ids are kept as
+little-endian bytes.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Entries after which the cache of a worker starts anew.
 CACHE_WORDS = 1_500_000
+_LINE, _HEAD, _MARKS = "\x00", "\x01", ".,;:!?"
 _INNER = re.compile(r" (?=\S)")
 
 
@@ -29,49 +32,95 @@ class WordCacheEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.style, self.dtype = Tokenizer.from_file(path), style, dtype
+        self.model = self.tokenizer.model.tokenize
         if dtype == "<u2" and self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary needs wider ids")
-        self.cache: dict[str, bytes] = {}
+        pieces = self.tokenizer.pre_tokenizer
+        byte = [pieces.pre_tokenize_str(c)[0][0] for c in map(chr, range(33, 127))]
+        if byte != [chr(c) for c in range(33, 127)]:
+            raise ValueError("not a byte-level vocabulary")
+        #: Letters that are one piece with their neighbours, as the model's alphabet writes their bytes.
+        self.letters = {c: "".join(x for x, _ in pieces.pre_tokenize_str(c)) for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250"}
+        self.table = str.maketrans(self.letters)
+        self.space = pieces.pre_tokenize_str(" a")[0][0][0] if style == "byte" else ""
+        self.line, *self.ends = (self._ids([x]) for x in ["\n", *_MARKS])
+        #: Ids of a part; None for a part that says that its text has to be cut with care.
+        self.cache: dict[str, bytes | None] = {}
+
+    def _ids(self, texts: list[str]) -> bytes:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return b"".join([np.array(e.ids, self.dtype).tobytes() for e in found])
 
     def parts(self, text: str) -> list[str]:
+        """Parts at single spaces and line feeds. In the byte style a part stands for
+        itself after a space, after ``_LINE`` for itself after a line feed, after
+        ``_HEAD`` for itself."""
         if self.style == "word":
             return text.replace("\n", " ").replace("\t", " ").split(" ")
+        if _LINE in text or _HEAD in text:
+            return [""]
+        return (_HEAD + text.replace("\n", f" {_LINE}")).split(" ")
+
+    def _plain(self, word: str) -> bool:
+        """Whether a word is of letters that are one piece in any case."""
+        return word.isalpha() and (word.isascii() or self.letters.keys() >= set(word))
+
+    def _word(self, word: str, space: str) -> bytes:
+        """Ids of a plain word, by the model alone."""
+        if self.style == "word":
+            word = word.lower()
+        if not word.isascii():
+            word = word.translate(self.table)
+        return array("H" if self.dtype == "<u2" else "I", [t.id for t in self.model(space + word)]).tobytes()
+
+    def _encode_new(self, new: set[str]) -> None:
+        """Puts the ids of ``new`` parts into the cache."""
+        cache, byte, alone = self.cache, self.style == "byte", []
+        for w in new:
+            first = w[:1]
+            told = byte and (first == _LINE or first == _HEAD)
+            core = w[1:] if told else w
+            if byte and (not core or core[0].isspace() or core[-1].isspace()):
+                cache[w] = b"" if w == _HEAD else None
+                continue
+            # One mark after letters is a piece of its own.
+            mark = _MARKS.find(core[-1:]) if core else -1
+            stem = core[:-1] if mark >= 0 else core
+            if not self._plain(stem):
+                alone.append((w, core if told or not byte else f" {core}"))
+                continue
+            key = _HEAD + stem if told else stem
+            if (ids := cache.get(key)) is None:
+                ids = cache[key] = self._word(stem, "" if told else self.space)
+            ids = ids + self.ends[mark] if mark >= 0 else ids
+            cache[w] = self.line + ids if byte and first == _LINE else ids
+        for at in range(0, len(alone), 20_000):
+            some = alone[at : at + 20_000]
+            for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype).tobytes()
+                cache[w] = self.line + ids if byte and w[0] == _LINE else ids
+
+    def _careful(self, text: str) -> bytes:
+        """Ids of a text in the byte style with runs of white space or control characters in it."""
         head, *rest = _INNER.split(text)
-        return [head, *[" " + x for x in rest]]
-
-    def atoms(self, part: str) -> list[str]:
-        """Cuts of a part at places where a piece ends too: round a lone line feed
-        between other characters, and before one mark that ends a word."""
-        out = []
-        lines = part.split("\n")
-        if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in [lines[0].lstrip(" "), *lines[1:]]):
-            return [part]
-        for i, x in enumerate(lines):
-            if i:
-                out.append("\n")
-            tail = [x[-1]] if len(x) > 1 and x[-1] in ".,;:!?" and x[-2].isalpha() else []
-            x = x[:-1] if tail else x
-            out.append(x.lower() if self.style == "word" and x.isascii() else x)
-            out += tail
-        return out
+        words = [head, *[" " + x for x in rest]]
+        return self._ids(words)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (None: empty), as bytes of ``dtype``."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         split = [self.parts(t) if t else [] for t in texts]
-        cache = self.cache
-        get = cache.__getitem__
-        built = {w: self.atoms(w) for words in split for w in words if w not in cache}
-        new = list({a for atoms in built.values() for a in atoms if a not in cache})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, self.dtype).tobytes()
-        for w, atoms in built.items():
-            if w not in cache:
-                cache[w] = b"".join(map(get, atoms))
-        return [b"".join(map(get, words)) for words in split]
+        new = set().union(*split).difference(self.cache)
+        if new:
+            self._encode_new(new)
+        get, out = self.cache.__getitem__, []
+        for text, words in zip(texts, split, strict=True):
+            try:
+                out.append(b"".join(map(get, words)))
+            except TypeError:  # a None among them
+                out.append(self._careful(text))
+        return out
 
 
 _ENCODERS: dict[tuple, WordCacheEncoder] = {}
