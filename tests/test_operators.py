@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import describe, detect, gaps, recipes, smooth
+from tidemark.operators import describe, detect, gaps, profile, recipes, smooth
 from tidemark.plans import catalogue
 from tidemark.series import SeriesSpec
 from tidemark.sources import files
@@ -179,3 +179,30 @@ def test_stage_tables(spark, tmp_path):
     files.replace_stage(files.read_stage(spark, f"{tmp_path}/stage").withColumn("x", F.lit(1)), f"{tmp_path}/stage")
     assert "x" in files.read_stage(spark, f"{tmp_path}/stage").columns
     assert files.markdown(rows.select("series", "gap_flag")).count("\n") == rows.count() + 1
+
+
+def test_one_pass_profiles_agree_with_the_single_operators(spark, events):
+    rows = SeriesSpec("event_type").normalise(spark.read.parquet(f"{events}/events.parquet"))
+    grid = gaps.gap_fill(rows)
+    wide = {r["series"]: r for r in profile.wide_profile(grid).collect()}
+    ratio = {r["series"]: r["var_ratio"] for r in describe.value_stats(grid).collect()}
+    parts = [
+        describe.describe(grid), describe.bimodality(grid), describe.rolling_std_cv(grid), describe.within_diff_stats(grid), describe.step_stats(grid), describe.null_rate(grid), describe.autocorrelation(grid).drop("n", "acf_bound"),
+        profile.spectrum(grid), profile.mixture(grid), profile.unit_root(grid).withColumnsRenamed({"p_value": "adf_p"}), profile.normality(grid).withColumnsRenamed({"w": "shapiro_w", "p_value": "shapiro_p"}),
+    ]
+    for part in parts:
+        for r in part.collect():
+            for c in part.columns:
+                assert wide[r["series"]][c] == (pytest.approx(r[c], rel=1e-9, nan_ok=True) if isinstance(r[c], float) else r[c]), c
+    assert ratio == {r["series"]: pytest.approx(r["var_ratio"], rel=1e-9) for r in describe.rolling_mean_ratio(grid).collect()}
+
+
+def test_verdicts_after_smoothing_follow_the_data(spark):
+    fields = "series string, all_positive boolean, is_bimodal boolean, bimodal boolean, mode_gap double, slope double, pct_circadian double, dominant_hours double, is_stationary boolean, rolling_cv double, pct_semidiurnal double, diff_kurt double, near_normal boolean, sigma_x double, median_step_min double, pct_on_grid_steps double, null_pct double, mean double, std double, iqr double"
+    row = lambda k, stationary, circ, sx, grid, nulls, mean: (k, True, False, False, 1.0, -2.0, circ, 24.0, stationary, 0.1, 5.0, 1.0, False, sx, 10.0, grid, nulls, mean, 3.0, 4.0)
+    raw = spark.createDataFrame([row("a", True, 20.0, 10.0, 60.0, 30.0, 40.0), row("b", False, 20.0, 10.0, 60.0, 30.0, 60.0)], fields)
+    same = {r["id"]: r["verdict"] for r in profile.smoothed_verdicts(raw, raw).collect()}
+    assert [same[f"H{k}"] for k in (4, 5, 6, 7, 8, 10)] == ["PRESERVED", "PRESERVED", "UNCHANGED", "PRESERVED", "UNCHANGED", "PRESERVED"]
+    done = spark.createDataFrame([row("a", False, 40.0, 2.0, 99.0, 0.0, 48.0), row("b", False, 40.0, 2.0, 99.0, 0.0, 52.0)], fields)
+    after = {r["id"]: r["verdict"] for r in profile.smoothed_verdicts(done, raw).collect()}
+    assert [after[f"H{k}"] for k in (4, 5, 6, 7, 8, 10)] == ["WEAKENED", "STRENGTHENED", "SUBSTANTIALLY REDUCED", "RESOLVED", "RESOLVED", "REDUCED"]

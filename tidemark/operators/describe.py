@@ -12,21 +12,68 @@ DAY_ROWS = 144
 MAD = 1.4826
 
 
-def describe(rows: DataFrame) -> DataFrame:
-    """Counts, moments (population), exact percentiles and positivity of the values."""
+_QUANTILES = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
+
+
+def _value_aggs() -> list[Column]:
     v = F.col("value")
-    q = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}
-    out = rows.where(observed()).groupBy("series").agg(
+    return [
         F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, F.array(*[F.lit(x) for x in q.values()])).alias("__q"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis_excess"),
+        F.percentile(v, F.array(*[F.lit(x) for x in _QUANTILES.values()])).alias("__q"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis_excess"),
         F.bool_and(v > 0).alias("all_positive"), F.count_if(v <= 0).alias("n_nonpositive"), F.count_if(v > 300).alias("n_above_300"),
-    )
-    out = out.withColumns({name: F.col("__q")[i] for i, name in enumerate(q)}).drop("__q")
+    ]
+
+
+def _with_quantiles(out: DataFrame) -> DataFrame:
+    out = out.withColumns({name: F.col("__q")[i] for i, name in enumerate(_QUANTILES)}).drop("__q")
     return out.withColumn("iqr", F.col("q75") - F.col("q25")).withColumn("range_90", F.col("q95") - F.col("q05"))
 
 
+def describe(rows: DataFrame) -> DataFrame:
+    """Counts, moments (population), exact percentiles and positivity of the values."""
+    return _with_quantiles(rows.where(observed()).groupBy("series").agg(*_value_aggs()))
+
+
+def _grid_aggs(step: Column, grid: float = 10.0) -> list[Column]:
+    on = F.abs(step - grid) < 0.5
+    return [
+        F.median(step).alias("median_step_min"), F.stddev_samp(step).alias("std_step_min"),
+        (F.avg(F.when(on, 1.0).otherwise(0.0)) * 100).alias("pct_on_grid_all"), (F.avg(on.cast("double")) * 100).alias("pct_on_grid_steps"),
+    ]
+
+
+def _null_aggs() -> list[Column]:
+    return [F.count("*").alias("n_rows"), (F.avg(F.when(observed(), 0.0).otherwise(1.0)) * 100).alias("null_pct")]
+
+
+def grid_stats(grid: DataFrame) -> DataFrame:
+    """``step_stats`` and ``null_rate`` of a filled grid, whose steps are a column, by one aggregation."""
+    return grid.groupBy("series").agg(*_grid_aggs(F.col("minute_diff")), *_null_aggs())
+
+
+def value_stats(rows: DataFrame, within: float = 15.0, lags=(1, 6, 144, 288)) -> DataFrame:
+    """What ``describe``, ``bimodality``, ``rolling_std_cv``, ``rolling_mean_ratio``, ``within_diff_stats`` and ``autocorrelation``
+    tell of the values, by one sort and one aggregation; NULL where the operator itself has no row."""
+    seen = rows.where(observed()).withColumn("__x", F.col("value") - F.avg("value").over(Window.partitionBy("series")))
+    seen = seen.withColumns({
+        "__d": F.when(step_minutes() <= within, F.col("value") - F.lag("value").over(ordered())),
+        "__s": F.stddev_samp("value").over(ordered().rowsBetween(-(DAY_ROWS - 1), 0)), "__m": _trailing_mean(24),
+        **{f"__p{k}": F.col("__x") * F.lag("__x", k).over(ordered()) for k in lags},
+    })
+    total = F.sum(F.col("__x") * F.col("__x"))
+    out = seen.groupBy("series").agg(
+        *_value_aggs(), *_difference_aggs(), F.stddev_samp("__s").alias("__sd"), F.avg("__s").alias("__sm"), F.var_samp("__m").alias("__vm"), F.var_pop("value").alias("__v"),
+        *[(F.sum(f"__p{k}") / F.when(total > 0, total)).alias(f"acf_{k}") for k in lags],
+    )
+    out = _with_quantiles(out).withColumn("n_diffs", F.when(F.col("n_diffs") > 0, F.col("n_diffs")))
+    out = out.withColumn("bimodality", F.when(F.col("n") > 3, _sarle(False))).withColumn("is_bimodal", F.col("bimodality") > 0.555)
+    out = out.withColumn("rolling_cv", F.when(F.col("__sm") > 0, F.col("__sd") / F.col("__sm")))
+    out = out.withColumn("var_ratio", F.when(F.col("n") >= 24, F.when(F.col("__v") > 0, F.col("__vm") / F.col("__v")).otherwise(0.0)))
+    return out.drop("__sd", "__sm", "__vm", "__v")
+
+
 def null_rate(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("series").agg(F.count("*").alias("n_rows"), (F.avg(F.when(observed(), 0.0).otherwise(1.0)) * 100).alias("null_pct"))
+    return rows.groupBy("series").agg(*_null_aggs())
 
 
 def _differences(rows: DataFrame, within: float | None = None) -> DataFrame:
@@ -51,13 +98,16 @@ def mad_noise(rows: DataFrame, variant: str = "b") -> DataFrame:
     return out.select("series", scale[variant].alias("sigma"))
 
 
+def _difference_aggs() -> list[Column]:
+    return [
+        F.count("__d").alias("n_diffs"), (MAD * F.median(F.abs("__d")) / F.sqrt(F.lit(2.0))).alias("sigma_x"), F.stddev_pop("__d").alias("diff_std"),
+        F.kurtosis("__d").alias("diff_kurt"), F.skewness("__d").alias("diff_skew"),
+    ]
+
+
 def within_diff_stats(rows: DataFrame, within: float = 15.0) -> DataFrame:
     """Noise and moments of differences between readings at most ``within`` minutes apart."""
-    d = _differences(rows, within)
-    return d.groupBy("series").agg(
-        F.count("*").alias("n_diffs"), (MAD * F.median(F.abs("__d")) / F.sqrt(F.lit(2.0))).alias("sigma_x"), F.stddev_pop("__d").alias("diff_std"),
-        F.kurtosis("__d").alias("diff_kurt"), F.skewness("__d").alias("diff_skew"),
-    )
+    return _differences(rows, within).groupBy("series").agg(*_difference_aggs())
 
 
 def hour_profile(rows: DataFrame) -> DataFrame:
@@ -71,12 +121,13 @@ def circadian_amplitude(rows: DataFrame) -> DataFrame:
 
 def step_stats(rows: DataFrame, grid: float = 10.0) -> DataFrame:
     """Median and deviation of steps, and the share on the grid by two denominators: all rows, and rows with a step."""
-    steps = rows.withColumn("__dt", step_minutes())
-    on = F.abs(F.col("__dt") - grid) < 0.5
-    return steps.groupBy("series").agg(
-        F.median("__dt").alias("median_step_min"), F.stddev_samp("__dt").alias("std_step_min"),
-        (F.avg(F.when(on, 1.0).otherwise(0.0)) * 100).alias("pct_on_grid_all"), (F.avg(on.cast("double")) * 100).alias("pct_on_grid_steps"),
-    )
+    return rows.withColumn("__dt", step_minutes()).groupBy("series").agg(*_grid_aggs(F.col("__dt"), grid))
+
+
+def _sarle(corrected: bool) -> Column:
+    n, sk, ku = F.col("n"), F.col("skew"), F.col("kurtosis_excess")
+    below = ku + 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3)) + (0 if corrected else 3)
+    return F.when(below != 0, (sk * sk + 1) / below)
 
 
 def bimodality(rows: DataFrame, corrected: bool = False) -> DataFrame:
@@ -85,17 +136,18 @@ def bimodality(rows: DataFrame, corrected: bool = False) -> DataFrame:
     The published study adds 3 to the excess kurtosis once more, so that its
     threshold of 0.555 is out of reach; ``corrected`` leaves that out.
     """
-    n, sk, ku = F.col("n"), F.col("skew"), F.col("kurtosis_excess")
-    below = ku + 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3)) + (0 if corrected else 3)
-    stats = describe(rows).where("n > 3")
-    stats = stats.withColumn("bimodality", F.when(below != 0, (sk * sk + 1) / below))
+    stats = describe(rows).where("n > 3").withColumn("bimodality", _sarle(corrected))
     return stats.select("series", "bimodality", (F.col("bimodality") > 0.555).alias("is_bimodal"))
 
 
+def _trailing_mean(width: int) -> Column:
+    over = ordered().rowsBetween(-(width - 1), 0)
+    return F.when(F.count("value").over(over) >= 2, F.avg("value").over(over))
+
+
 def rolling_mean_ratio(rows: DataFrame, width: int = 24) -> DataFrame:
     """Sample variance of the trailing mean (two rows at least) over the population variance of the values."""
-    over = ordered().rowsBetween(-(width - 1), 0)
-    rolled = rows.where(observed()).withColumn("__m", F.when(F.count("value").over(over) >= 2, F.avg("value").over(over)))
+    rolled = rows.where(observed()).withColumn("__m", _trailing_mean(width))
     out = rolled.groupBy("series").agg(F.count("*").alias("n"), F.var_samp("__m").alias("__a"), F.var_pop("value").alias("__b"))
     return out.where(F.col("n") >= width).select("series", F.when(F.col("__b") > 0, F.col("__a") / F.col("__b")).otherwise(0.0).alias("var_ratio"))
 
@@ -144,20 +196,24 @@ def densest_window(rows: DataFrame, days: int = 3) -> DataFrame:
 
 
 def autocorrelation(rows: DataFrame, lags=(1, 6, 144, 288)) -> DataFrame:
-    """Biased autocorrelation at row lags, as columns acf_<lag>; NULL where a series is too short."""
+    """Biased autocorrelation at row lags, as columns acf_<lag>, and the band acf_bound outside of which it is
+    not noise's (1.96 / sqrt n); NULL where a series is too short."""
     mean = Window.partitionBy("series")
     x = rows.where(observed()).withColumn("__x", F.col("value") - F.avg("value").over(mean))
     x = x.withColumns({f"__p{k}": F.col("__x") * F.lag("__x", k).over(ordered()) for k in lags})
     total = F.sum(F.col("__x") * F.col("__x"))
-    return x.groupBy("series").agg(F.count("*").alias("n"), *[(F.sum(f"__p{k}") / F.when(total > 0, total)).alias(f"acf_{k}") for k in lags])
+    bound = (1.96 / F.sqrt(F.count("*"))).alias("acf_bound")
+    return x.groupBy("series").agg(F.count("*").alias("n"), bound, *[(F.sum(f"__p{k}") / F.when(total > 0, total)).alias(f"acf_{k}") for k in lags])
 
 
 def histogram(rows: DataFrame, bins: int = 60) -> DataFrame:
-    """(series, bin, n): equal bins between a series' least and greatest value; the last bin is closed."""
+    """(series, bin, n, bin_low, bin_high): equal bins between a series' least and greatest value; the last bin is closed."""
     ends = Window.partitionBy("series")
     v = rows.where(observed()).withColumn("__lo", F.min("value").over(ends)).withColumn("__hi", F.max("value").over(ends))
-    at = F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins))).otherwise(0)
-    return v.groupBy("series", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    at = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins))).otherwise(0)
+    out = v.groupBy("series", at.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min("__lo").alias("__lo"), F.min(width).alias("__w"))
+    return out.select("series", "bin", "n", (F.col("__lo") + F.col("bin") * F.col("__w")).alias("bin_low"), (F.col("__lo") + (F.col("bin") + 1) * F.col("__w")).alias("bin_high"))
 
 
 def logit(u: Column, eps: float) -> Column:

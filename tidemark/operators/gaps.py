@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.series import MINUTE, from_micros, observed, ordered
+from tidemark.series import MINUTE, from_micros, micros, observed, ordered
 
 GAP_MINUTES = 180
 GRID_MINUTES = 10
@@ -24,17 +24,21 @@ def with_steps(rows: DataFrame) -> DataFrame:
 def gap_fill(rows: DataFrame, gap: float = GAP_MINUTES, grid: float = GRID_MINUTES) -> DataFrame:
     """Makes gaps explicit: after a step over ``gap`` minutes, rows without value every ``grid`` minutes up to the next reading.
 
-    Adds gap_flag (1: no value) and minute_diff of the filled grid. One exchange:
-    the generated rows stay in their series' partition.
+    Adds gap_flag (1: no value) and minute_diff of the filled grid. One scan, one
+    exchange and one window: each reading brings the rows that follow it, and the
+    step to the last of those before it is known from the reading before.
     """
-    following = F.lead("us").over(ordered())
-    wide = rows.withColumn("__next", following)
-    step = int(grid * MINUTE)
-    fill = wide.where(F.col("__next") - F.col("us") > gap * MINUTE)
-    fill = fill.select("series", F.explode(F.sequence(F.col("us") + step, F.col("__next") - 1, F.lit(step).cast("long"))).alias("us"))
-    fill = fill.select("series", from_micros("us").alias("ts"), F.lit(None).cast(rows.schema["row_id"].dataType).alias("row_id"), F.lit(None).cast("double").alias("value"), "us")
-    grid_rows = rows.select("series", "ts", "row_id", "value", "us").unionByName(fill)
-    return with_steps(grid_rows).withColumn("gap_flag", F.when(observed(), 0).otherwise(1))
+    step, here = int(grid * MINUTE), F.col("us")
+    wide = rows.select("series", "ts", "row_id", "value", "us", F.lag("us").over(ordered()).alias("__prev"), F.lead("us").over(ordered()).alias("__next"))
+    upto = F.when(F.col("__next") - here > gap * MINUTE, F.greatest(here, F.col("__next") - 1)).otherwise(here)
+    back = here - F.col("__prev")
+    past = F.when(back > gap * MINUTE, (back - 1) % step + 1).otherwise(back)
+    wide = wide.select("series", "ts", "row_id", "value", past.alias("__back"), F.posexplode(F.sequence(here, upto, F.lit(step).cast("long"))).alias("__i", "us"))
+    own = F.col("__i") == 0
+    return wide.select(
+        "series", F.when(own, F.col("ts")).otherwise(from_micros("us")).alias("ts"), F.when(own, F.col("row_id")).alias("row_id"), F.when(own, F.col("value")).alias("value"), "us",
+        (F.when(own, F.col("__back")).otherwise(step) / MINUTE).alias("minute_diff"), F.when(own & observed(), 0).otherwise(1).alias("gap_flag"),
+    )
 
 
 def chunks(rows: DataFrame, gap: float = GAP_MINUTES) -> DataFrame:
@@ -67,9 +71,13 @@ def longest_segment(rows: DataFrame, most: int | None = None) -> DataFrame:
     return rows.withColumn("__i", F.row_number().over(ordered())).where(F.col("__i") <= most).drop("__i")
 
 
-def merge_back(grid: DataFrame, smoothed: DataFrame, col: str) -> DataFrame:
-    """The grid with ``col`` of the smoothed readings; each reading is met by its own row, so equal times never multiply."""
-    return grid.join(smoothed.select("series", "row_id", col), ["series", "row_id"], "left")
+def merge_back(grid: DataFrame, smoothed: DataFrame, *cols: str) -> DataFrame:
+    """The grid with ``cols`` of the smoothed readings; each reading is met by its own row, so equal times never multiply.
+
+    Time is one of the keys, so that a series' rows without a reading are not one key.
+    """
+    found = smoothed.withColumn("us", micros("ts")).select("series", "row_id", "us", *cols)
+    return grid.join(found, ["series", "row_id", "us"], "left")
 
 
 def gap_markers(rows: DataFrame, gap: float = GAP_MINUTES) -> DataFrame:

@@ -62,22 +62,45 @@ def normality(rows: DataFrame, within: float = 15.0, most: int = 5000) -> DataFr
 
 def raw_profile(grid: DataFrame) -> DataFrame:
     """One wide row a series of the gap-filled grid, with what the verdicts of raw data need."""
-    wide = D.describe(grid).select("series", "n", "mean", "min", "max", "median", "std", F.col("kurtosis_excess").alias("kurt"))
-    for part in (D.rolling_mean_ratio(grid), D.circadian_amplitude(grid), D.step_stats(grid).select("series", "pct_on_grid_all"), D.null_rate(grid).select("series", "null_pct")):
-        wide = wide.join(part, "series")
-    return wide
+    values = D.value_stats(grid).where("var_ratio IS NOT NULL")
+    wide = values.select("series", "n", "mean", "min", "max", "median", "std", F.col("kurtosis_excess").alias("kurt"), "var_ratio")
+    return wide.join(D.circadian_amplitude(grid), "series").join(D.grid_stats(grid).select("series", "pct_on_grid_all", "null_pct"), "series")
+
+
+def kernel_profile(rows: DataFrame, within: float = 15.0, most: int = 5000) -> DataFrame:
+    """``spectrum``, ``mixture``, ``unit_root`` and ``normality`` of a series by one grouped call, with their limits."""
+    key = rows.schema["series"].dataType.simpleString()
+    fields = {
+        "slope": "double", "intercept": "double", "r2": "double", "pct_circadian": "double", "pct_semidiurnal": "double", "dominant_hours": "double",
+        "delta_bic": "double", "bimodal": "boolean", "mode_gap": "double", "means": "array<double>", "weights": "array<double>", "adf_p": "double", "shapiro_w": "double", "shapiro_p": "double",
+    }
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["us", "row_id"])
+        x, us = pdf["value"].to_numpy(float), pdf["us"].to_numpy()
+        found = {}
+        if len(x) > 200:
+            found |= spectra.spectrum(x)
+        if len(x) > 20:
+            found |= spectra.gmm_delta_bic(x)
+        if len(x) > 50 and x.std() > 0:
+            found["adf_p"] = spectra.adf(x)
+        d = np.diff(x)[np.diff(us) / 60e6 <= within]
+        if len(d) >= 12:
+            found["shapiro_w"], found["shapiro_p"] = spectra.shapiro(d[:most])
+        return pd.DataFrame({"series": pdf["series"].iloc[:1], **{n: [found.get(n)] for n in fields}})
+
+    schema = f"series {key}, " + ", ".join(f"{n} {t}" for n, t in fields.items())
+    out = rows.where(observed()).select("series", "us", "row_id", "value").groupBy("series").applyInPandas(run, schema)
+    return out.withColumn("is_stationary", F.col("adf_p") < 0.05).withColumn("near_normal", F.col("shapiro_p") > 0.05)
 
 
 def wide_profile(grid: DataFrame) -> DataFrame:
-    """All statistics of a series in one row."""
-    wide = D.describe(grid)
-    parts = [
-        D.bimodality(grid), D.rolling_std_cv(grid), D.within_diff_stats(grid), D.step_stats(grid), D.null_rate(grid), D.autocorrelation(grid).drop("n"),
-        spectrum(grid), mixture(grid), unit_root(grid).withColumnsRenamed({"p_value": "adf_p"}), normality(grid).withColumnsRenamed({"w": "shapiro_w", "p_value": "shapiro_p"}),
-    ]
-    for part in parts:
-        wide = wide.join(part, "series", "left")
-    return wide
+    """All statistics of a series in one row: one pass over the grid, one over its values, one grouped call."""
+    return D.value_stats(grid).drop("var_ratio").join(D.grid_stats(grid), "series").join(kernel_profile(grid), "series")
 
 
 def _row(id_: str, trait: str, evidence: Column, verdict: Column) -> Column:
@@ -134,27 +157,36 @@ def characteristic_verdicts(profile: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("id"), e.cast("double").alias("evidence"), v.alias("verdict")) for i, e, v in rows])).alias("r")).select("r.*")
 
 
-def smoothed_verdicts(profile: DataFrame) -> DataFrame:
-    """(id, evidence map<string,double>, verdict) after smoothing, from ``wide_profile`` of the smoothed values."""
+def smoothed_verdicts(profile: DataFrame, raw: DataFrame) -> DataFrame:
+    """(id, evidence map<string,double>, verdict) after smoothing, from ``wide_profile`` of the smoothed and of the raw values.
+
+    H4 to H8 and H10 compare the two: what stays within a quarter (shares within 20
+    points) is preserved.
+    """
     true_pct = lambda col: F.count_if(F.col(col)) / F.count("*") * 100
-    one = profile.agg(
+    was = raw.select("series", *[F.col(x).alias(f"raw_{x}") for x in ("is_stationary", "pct_circadian", "sigma_x", "pct_on_grid_steps", "null_pct", "mean")])
+    one = profile.join(was, "series", "left").agg(
         true_pct("all_positive").alias("pos"), true_pct("is_bimodal").alias("bc"), true_pct("bimodal").alias("gmm"), F.median("mode_gap").alias("gap"), F.median("slope").alias("slope"),
         F.median("pct_circadian").alias("circ"), F.median("dominant_hours").alias("dom"), true_pct("is_stationary").alias("adf"), F.median("rolling_cv").alias("cv"), F.median("pct_semidiurnal").alias("semi"),
         F.median("diff_kurt").alias("dk"), true_pct("near_normal").alias("nn"), F.median("sigma_x").alias("sx"), F.median("median_step_min").alias("step"), F.median("pct_on_grid_steps").alias("grid"),
         F.median("null_pct").alias("nulls"), F.median("mean").alias("mean"), F.stddev_samp("mean").alias("sd_means"), F.stddev_samp("std").alias("sd_stds"), F.median("iqr").alias("iqr"),
+        true_pct("raw_is_stationary").alias("raw_adf"), F.median("raw_pct_circadian").alias("raw_circ"), F.median("raw_sigma_x").alias("raw_sx"), F.median("raw_pct_on_grid_steps").alias("raw_grid"),
+        F.median("raw_null_pct").alias("raw_nulls"), F.stddev_samp("raw_mean").alias("raw_sd_means"),
     )
     c = F.col
+    share = lambda a, b: F.when(F.abs(c(a) - c(b)) <= 20, "PRESERVED").when(c(a) > c(b), "STRENGTHENED").otherwise("WEAKENED")
+    ratio = lambda a, b, less, more: F.when(c(a) < 0.75 * c(b), less).when(c(a) <= 1.25 * c(b), "PRESERVED").otherwise(more)
     table = [
         ("H1", {"pct_all_positive": "pos"}, F.when(c("pos") == 100, "UNCHANGED").otherwise("VIOLATED")),
         ("H2", {"pct_bimodal_bc": "bc", "pct_bimodal_gmm": "gmm", "mode_gap": "gap"}, F.when(c("gmm") > 70, "PRESERVED").when(c("gmm") > 30, "WEAKENED").otherwise("RESOLVED")),
         ("H3", {"slope": "slope", "pct_circadian": "circ", "dominant_hours": "dom"}, F.when(c("slope") < -1.3, "STEEPENED").when(c("slope") <= -0.7, "ROUGHLY PRESERVED").otherwise("WHITENED")),
-        ("H4", {"pct_stationary": "adf", "rolling_cv": "cv"}, F.lit("PRESERVED")),
-        ("H5", {"pct_circadian": "circ", "pct_semidiurnal": "semi"}, F.lit("PRESERVED")),
-        ("H6", {"diff_kurt": "dk", "pct_near_normal": "nn", "sigma_x": "sx"}, F.lit("SUBSTANTIALLY REDUCED")),
-        ("H7", {"median_step": "step", "pct_on_grid": "grid"}, F.lit("RESOLVED")),
-        ("H8", {"null_pct": "nulls"}, F.lit("TRANSFORMED")),
+        ("H4", {"pct_stationary": "adf", "raw_pct_stationary": "raw_adf", "rolling_cv": "cv"}, share("adf", "raw_adf")),
+        ("H5", {"pct_circadian": "circ", "raw_pct_circadian": "raw_circ", "pct_semidiurnal": "semi"}, ratio("circ", "raw_circ", "WEAKENED", "STRENGTHENED")),
+        ("H6", {"diff_kurt": "dk", "pct_near_normal": "nn", "sigma_x": "sx", "raw_sigma_x": "raw_sx"}, F.when(c("sx") < 0.5 * c("raw_sx"), "SUBSTANTIALLY REDUCED").when(c("sx") < 0.9 * c("raw_sx"), "REDUCED").otherwise("UNCHANGED")),
+        ("H7", {"median_step": "step", "pct_on_grid": "grid", "raw_pct_on_grid": "raw_grid"}, F.when(c("grid") >= 95, "RESOLVED").otherwise(share("grid", "raw_grid"))),
+        ("H8", {"null_pct": "nulls", "raw_null_pct": "raw_nulls"}, F.when(c("nulls") == 0, "RESOLVED").when(c("nulls") == c("raw_nulls"), "UNCHANGED").otherwise("TRANSFORMED")),
         ("H9", {}, F.lit("UNCHANGED")),
-        ("H10", {"mean": "mean", "sd_of_means": "sd_means", "sd_of_stds": "sd_stds", "iqr": "iqr"}, F.lit("PRESERVED")),
+        ("H10", {"mean": "mean", "sd_of_means": "sd_means", "raw_sd_of_means": "raw_sd_means", "sd_of_stds": "sd_stds", "iqr": "iqr"}, ratio("sd_means", "raw_sd_means", "REDUCED", "INFLATED")),
     ]
     cell = lambda ev: F.create_map(*[x for k, v in ev.items() for x in (F.lit(k), c(v).cast("double"))]) if ev else F.create_map().cast("map<string,double>")
     return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("id"), cell(ev).alias("evidence"), v.alias("verdict")) for i, ev, v in table])).alias("r")).select("r.*")

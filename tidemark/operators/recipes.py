@@ -24,7 +24,7 @@ def smooth_grid(df: DataFrame, spec: SeriesSpec, method: str) -> tuple[DataFrame
     if method == "smc":
         done = done.withColumnRenamed("segment_id", "chunk_id")
     cols = [c for c in ("smoothed", "trend", "low", "high", "chunk_id") if c in done.columns]
-    grid = gaps.gap_fill(rows).join(done.select("series", "row_id", *cols), ["series", "row_id"], "left")
+    grid = gaps.merge_back(gaps.gap_fill(rows), done, *cols)
     return grid, smooth.smoothing_log(rows, done)
 
 

@@ -251,7 +251,7 @@ def densest_3day(rows):
     KIND,
     sql=f""", x AS (SELECT *, v - avg(v) OVER (PARTITION BY series) AS x FROM s),
 p AS (SELECT series, x * x AS xx, {", ".join(f"x * lag(x, {k}) OVER {_W} AS p{k}" for k in (1, 6, 144, 288))} FROM x)
-SELECT series, count(*) AS n, {", ".join(_r(f"sum(p{k}) / sum(xx)", f"acf_{k}") for k in (1, 6, 144, 288))} FROM p GROUP BY series""",
+SELECT series, count(*) AS n, {_r("1.96 / sqrt(count(*))", "acf_bound")}, {", ".join(_r(f"sum(p{k}) / sum(xx)", f"acf_{k}") for k in (1, 6, 144, 288))} FROM p GROUP BY series""",
 )
 def acf_lags(rows):
     return describe.autocorrelation(rows)
@@ -260,7 +260,8 @@ def acf_lags(rows):
 @_query(
     KIND,
     sql=""", e AS (SELECT *, min(v) OVER (PARTITION BY series) AS lo, max(v) OVER (PARTITION BY series) AS hi FROM s)
-SELECT series, (CASE WHEN hi > lo THEN least(59, floor((v - lo) / (hi - lo) * 60)) ELSE 0 END)::INTEGER AS bin, count(*) AS n FROM e GROUP BY ALL""",
+SELECT series, bin, n, round(lo + bin * (hi - lo) / 60, 6) AS bin_low, round(lo + (bin + 1) * (hi - lo) / 60, 6) AS bin_high FROM (
+  SELECT series, (CASE WHEN hi > lo THEN least(59, floor((v - lo) / (hi - lo) * 60)) ELSE 0 END)::INTEGER AS bin, count(*) AS n, min(lo) AS lo, min(hi) AS hi FROM e GROUP BY 1, 2) b""",
 )
 def value_histogram(rows):
     return describe.histogram(rows)
@@ -471,7 +472,7 @@ _query(GROUP, "characteristic_verdicts")(lambda rows: profile.characteristic_ver
 
 def _smoothed_verdicts(rows: DataFrame) -> DataFrame:
     grid = gaps.gap_fill(smooth.smooth(rows, "kim").withColumn("us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")).withColumn("value", F.col("smoothed")).select("series", "ts", "row_id", "value", "us"))
-    out = profile.smoothed_verdicts(profile.wide_profile(grid))
+    out = profile.smoothed_verdicts(profile.wide_profile(grid), profile.wide_profile(gaps.gap_fill(rows)))
     return out.withColumn("evidence", F.to_json("evidence"))
 
 
