@@ -146,6 +146,9 @@ def test_recipes(spark, events):
     spec = SeriesSpec("user_id")
     grid, log = recipes.preprocess(df, spec)
     assert log.agg(F.sum("n_rows")).first()[0] == grid.count()
+    more = df.limit(1).selectExpr("event_id", "CAST(NULL AS TIMESTAMP_NTZ) AS ts", "900L AS user_id", "event_type", "value")
+    _, log = recipes.preprocess(df.unionByName(more), spec, df.limit(1).selectExpr("901L AS series"))
+    assert {(r.series, r.reason) for r in log.where("status = 'failed'").collect()} == {(900, "no reading has a time"), (901, "no readings found")}
     smoothed, log = recipes.smooth_grid(df, spec, "gpssm")
     assert smoothed.count() == grid.count() and smoothed.where("gap_flag = 1 AND smoothed IS NOT NULL").count() == 0
     assert {r.status for r in log.collect()} <= {"success", "failed"}
@@ -165,7 +168,10 @@ def test_raw_files(spark, tmp_path):
     put("0002/hrv/part-0.csv", "createdTime,other\n2024-01-01 00:00:00,1\n")
     put("0003/hrv/part-0.csv", "x\n")
     (tmp_path / "users.txt").write_text('"0001"\n\n"0002"\n 0004 \n')
-    raw = files.read_readings(spark, str(tmp_path))
+    put("deep/er/0005/hrv/part-0.csv", "createdTime,hrvValue\n2024-01-01 00:30:00,50\n")
+    found = files.scan_files(spark, str(tmp_path), "hrv", "createdTime", "hrvValue")
+    assert sorted((r.series, r.status, r.reason) for r in found.collect()) == [("0001", "success", None)] * 2 + [("0002", "failed", "columns missing"), ("0003", "failed", "file too small"), ("0005", "success", None)]
+    raw = files.read_readings(spark, str(tmp_path), "hrv", "createdTime", "hrvValue").where("series <> '0005'")
     rows = SeriesSpec("series", "createdTime", "hrvValue", "hrvValue").normalise(raw).orderBy("ts").collect()
     assert [(r.series, r.value) for r in rows] == [("0001", 40.0), ("0001", 42.0)]
     roster = files.read_roster(spark, str(tmp_path / "users.txt"))
@@ -178,6 +184,8 @@ def test_stage_tables(spark, tmp_path):
     assert files.read_stage(spark, f"{tmp_path}/stage", "a").count() == rows.count()
     files.replace_stage(files.read_stage(spark, f"{tmp_path}/stage").withColumn("x", F.lit(1)), f"{tmp_path}/stage")
     assert "x" in files.read_stage(spark, f"{tmp_path}/stage").columns
+    os.makedirs(f"{tmp_path}/stage/v-9-broken/bucket=0")  # a write that broke off
+    assert files.read_stage(spark, f"{tmp_path}/stage").count() == rows.count() and len(os.listdir(f"{tmp_path}/stage")) == 2
     assert files.markdown(rows.select("series", "gap_flag")).count("\n") == rows.count() + 1
 
 

@@ -61,6 +61,11 @@ def marker_union(found: DataFrame) -> DataFrame:
     return found.select("series", "ts").distinct()
 
 
-def annotation_log(annotated: DataFrame, methods=METHODS) -> DataFrame:
+def annotation_log(annotated: DataFrame, methods=METHODS, rows: DataFrame | None = None) -> DataFrame:
+    """(series, status, reason, n_rows, n_<method>): rows a method calls other than normal; series of ``rows`` that have no annotated row fail."""
     kinds = [F.count_if(F.col(f"{m}_type") != "normal").alias(f"n_{m}") for m in methods]
-    return annotated.groupBy("series").agg(F.lit("success").alias("status"), F.count("*").alias("n_rows"), *kinds)
+    found = annotated.groupBy("series").agg(F.count("*").alias("n_rows"), *kinds)
+    if rows is not None:
+        found = rows.select("series").distinct().join(found, "series", "left")
+    reason = F.when(F.col("n_rows").isNull(), "no rows with values")
+    return found.select("series", F.when(reason.isNull(), "success").otherwise("failed").alias("status"), reason.alias("reason"), "n_rows", *[f"n_{m}" for m in methods])

@@ -9,12 +9,21 @@ from tidemark.operators import describe, detect, gaps, smooth
 from tidemark.series import SeriesSpec
 
 
-def preprocess(df: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, DataFrame]:
-    """(grid, log) of raw readings: the gap-filled grid and one log row a series."""
+def preprocess(df: DataFrame, spec: SeriesSpec, roster: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(grid, log) of raw readings: the gap-filled grid and one log row (series, status, reason, n_rows, n_filled) a series.
+
+    Series whose readings have no time, and series of ``roster`` (series) without
+    readings, fail.
+    """
     rows = spec.normalise(df)
     grid = gaps.gap_fill(rows)
-    log = grid.groupBy("series").agg(F.lit("success").alias("status"), F.count("*").alias("n_rows"), F.sum("gap_flag").alias("n_filled"))
-    return grid, log
+    done = grid.groupBy("series").agg(F.count("*").alias("n_rows"), F.sum("gap_flag").alias("n_filled"))
+    known = df.select(F.expr(spec.key).alias("series")).distinct().withColumn("__read", F.lit(True))
+    if roster is not None:
+        known = known.join(roster.select("series").distinct(), "series", "full")
+    log = known.join(done, "series", "left")
+    reason = F.when(F.col("__read").isNull(), "no readings found").when(F.col("n_rows").isNull(), "no reading has a time")
+    return grid, log.select("series", F.when(reason.isNull(), "success").otherwise("failed").alias("status"), reason.alias("reason"), "n_rows", "n_filled")
 
 
 def smooth_grid(df: DataFrame, spec: SeriesSpec, method: str) -> tuple[DataFrame, DataFrame]:

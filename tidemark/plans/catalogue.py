@@ -331,19 +331,25 @@ def calibrate_smc(rows):
     return calibrate.smc(rows, rows)
 
 
-def tuning_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Setting for a cohort of eight tuned series."""
-    log = [("success", n, m, c) for n, m, c in ((100, 25, True), (100, 25, True), (250, 50, True), (100, 100, True), (250, 25, True), (500, 50, True), (1000, 200, False))] + [("failed", None, None, None)]
-    return calibrate.recommend(spark.createDataFrame(log, "status string, n_star int, m_star int, n_converged boolean"))
-
-
-_QUERIES["tuning_recommendation"] = tuning_recommendation
-_SQL["tuning_recommendation"] = """
-WITH l(n, m, c) AS (VALUES (100, 25, true), (100, 25, true), (250, 50, true), (100, 100, true), (250, 25, true), (500, 50, true), (1000, 200, false)),
-p AS (SELECT floor(quantile_cont(n, 0.9)) AS n, floor(quantile_cont(m, 0.9)) AS m, count(*) AS n_series, count(*) FILTER (NOT c) AS n_unconverged FROM l)
+@_query(
+    USER,
+    sql=""", l AS (SELECT CASE WHEN count(v) < 10 THEN 'failed' ELSE 'success' END AS status, CASE WHEN count(v) < 55 THEN 100 WHEN count(v) < 70 THEN 250 WHEN count(v) < 85 THEN 500 ELSE 1000 END AS n,
+  CASE WHEN stddev_pop(v) < avg(v) * 0.9 THEN 25 WHEN stddev_pop(v) < avg(v) THEN 50 WHEN stddev_pop(v) < avg(v) * 1.1 THEN 100 ELSE 200 END AS m, count(v) < 80 AS c FROM s GROUP BY series),
+p AS (SELECT floor(quantile_cont(n, 0.9)) AS n, floor(quantile_cont(m, 0.9)) AS m, count(*) AS n_series, count(*) FILTER (NOT c) AS n_unconverged FROM l WHERE status = 'success')
 SELECT (CASE WHEN n <= 100 THEN 100 WHEN n <= 250 THEN 250 WHEN n <= 500 THEN 500 ELSE 1000 END)::INTEGER AS n_particles,
-  (CASE WHEN m <= 25 THEN 25 WHEN m <= 50 THEN 50 WHEN m <= 100 THEN 100 ELSE 200 END)::INTEGER AS n_paths, n_series, n_unconverged FROM p
-"""
+  (CASE WHEN m <= 25 THEN 25 WHEN m <= 50 THEN 50 WHEN m <= 100 THEN 100 ELSE 200 END)::INTEGER AS n_paths, n_series, n_unconverged FROM p""",
+)
+def tuning_recommendation(rows):
+    """A cohort's setting from a log of series; sizes by number and spread of readings stand for the tuning's own."""
+    n, cv = F.col("n"), F.col("std") / F.col("mean")
+    log = describe.describe(rows).select(
+        F.when(n < 10, "failed").otherwise("success").alias("status"),
+        F.when(n < 55, 100).when(n < 70, 250).when(n < 85, 500).otherwise(1000).alias("n_star"),
+        F.when(cv < 0.9, 25).when(cv < 1, 50).when(cv < 1.1, 100).otherwise(200).alias("m_star"),
+        (n < 80).alias("n_converged"),
+    )
+    return calibrate.recommend(log)
+
 
 # -- change points ----------------------------------------------------------------
 
@@ -386,7 +392,12 @@ def cpd_markers_union(rows):
 
 for _m in ("kcp", "hmm", "bocpd_run_length"):
     _query(GROUP, f"cpd_{_m}")(lambda rows, m=_m: detect.detect(rows, m))
-_query(GROUP, "annotation_log")(lambda rows: detect.annotation_log(detect.detect(rows)))
+_query(GROUP, "annotation_log")(lambda rows: detect.annotation_log(detect.detect(rows), rows=rows))
+_query(
+    GROUP,
+    "annotation_log_kalman",
+    _KALMAN + " SELECT series, 'success' AS status, NULL::VARCHAR AS reason, count(*) AS n_rows, 0::BIGINT AS n_bocpd, count(*) FILTER (score > 8) AS n_kalman FROM rec GROUP BY series",
+)(lambda rows: detect.annotation_log(detect.detect(rows, ["bocpd", "kalman"]), ["bocpd", "kalman"], rows))
 _query(GROUP, "annotate_kim")(lambda rows: detect.annotate(smooth.smooth(rows, "kim")))
 
 # -- smoothers --------------------------------------------------------------------
@@ -448,7 +459,14 @@ SELECT series, row_id, ts, {_r("v", "value")}, chunk_id, {_r("exp(greatest(lo, l
 for _m in smooth.SMOOTHERS:
     _query(GROUP, f"smooth_{_m}", _kim_sql() if _m == "kim" else None)(lambda rows, m=_m: smooth.smooth(rows, m))
 _query(GROUP, "smooth_smc")(smooth.smooth_smc)
-_query(GROUP, "smoothing_log_kim")(lambda rows: smooth.smoothing_log(rows, smooth.smooth(rows, "kim")))
+_query(
+    GROUP,
+    "smoothing_log_kim",
+    _kim_sql().replace("SELECT series, row_id, ts, ", ", fin AS (SELECT series, row_id, ts, ")
+    + """), tot AS (SELECT series, count(*) AS n_rows FROM s GROUP BY series), got AS (SELECT series, count(smoothed) AS n, count(DISTINCT chunk_id) AS k, min(smoothed) AS least FROM fin GROUP BY series)
+SELECT series, CASE WHEN n IS NULL OR least <= 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN n IS NULL THEN 'no chunk of 10 rows' WHEN least <= 0 THEN 'smoothed values not positive' END AS reason,
+  n_rows, coalesce(n, 0) AS n_smoothed, coalesce(k, 0) AS n_chunks, round(least, 6) AS min_smoothed FROM tot LEFT JOIN got USING (series)""",
+)(lambda rows: smooth.smoothing_log(rows, smooth.smooth(rows, "kim")))
 _query(GROUP, "dglm_forecast")(smooth.forecast)
 _query(GROUP, "tune_n_m")(smooth.tune)
 

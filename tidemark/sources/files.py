@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import time as clock
+import uuid
 from functools import reduce
-from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TIME, VALUE = "createdTime", "hrvValue"
-
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
     """(series): the ids of a text file, one a line, blanks and quotes stripped."""
@@ -17,48 +16,65 @@ def read_roster(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(ids.alias("series")).where("series <> ''")
 
 
-def _listing(spark: SparkSession, root: str, modality: str) -> list[tuple[str, str, int]]:
-    """(series, file, size) of every CSV of a modality, by the Hadoop file system of ``root``."""
-    jvm = spark._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{root}/*/{modality}/*.csv")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    out = []
-    for f in found or []:
-        path = f.getPath()
-        if not path.getName().startswith((".", "_")):
-            out.append((path.getParent().getParent().getName(), path.toString(), f.getLen()))
-    quoted = {s.strip('"') for s, _, _ in out if s.startswith('"')}
-    # A folder with a quoted name is preferred to one with the bare name.
-    return [(s.strip('"'), p, n) for s, p, n in out if s.startswith('"') or s not in quoted]
+def find_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """(path, bytes) of all files under ``root``, however deep, whose name fits; hidden ones and those that begin with "_" are left out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return found.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("bytes"))
+
 
+def _folder(path: Column, up: int) -> Column:
+    return F.element_at(F.split(path, "/"), -up)
 
-def read_readings(spark: SparkSession, root: str, modality: str = "hrv", time: str = TIME, value: str = VALUE, least_bytes: int = 10) -> DataFrame:
-    """(series, createdTime, hrvValue) as strings, of all files that have both columns.
+
+def scan_files(spark: SparkSession, root: str, modality: str, time: str, value: str, least_bytes: int = 10) -> DataFrame:
+    """A row a CSV file of a modality: (series, path, bytes, header, status, reason).
+
+    A folder with a quoted name is preferred to one with the bare name. Files under
+    ``least_bytes``, files that can't be read and files without both columns fail.
+    """
+    files = find_files(spark, root).where(_folder(F.col("path"), 2) == modality).where(~_folder(F.col("path"), 1).rlike(r"^[._]"))
+    name = _folder(F.col("path"), 3)
+    files = files.select(F.regexp_replace(name, '^"+|"+$', "").alias("series"), name.startswith('"').alias("quoted"), "path", "bytes")
+    quoted = files.where("quoted").select("series").distinct().withColumn("prefers", F.lit(True))
+    files = files.join(quoted, "series", "left").where("quoted OR prefers IS NULL").drop("quoted", "prefers")
+    large = [r["path"] for r in files.where(F.col("bytes") >= least_bytes).select("path").collect()]
+    heads = spark.createDataFrame([], "path string, header string")
+    if large:
+        lines = _lenient(spark).text([_escaped(p) for p in large]).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+        heads = lines.where("at = 0").groupBy(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path")).agg(F.first("value").alias("header"))
+    cells = F.transform(F.split("header", ","), lambda c: F.trim(c, F.lit('" \ufeff\t')))
+    whole = F.array_contains(cells, time) & F.array_contains(cells, value)
+    reason = F.when(F.col("bytes") < least_bytes, "file too small").when(F.col("header").isNull(), "file unreadable").when(~whole, "columns missing")
+    # Paths of one file system are written with one slash or three after the scheme.
+    key = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    out = files.withColumn("__k", key(F.col("path"))).join(heads.select(key(F.col("path")).alias("__k"), "header"), "__k", "left")
+    return out.select("series", "path", "bytes", "header", F.when(reason.isNull(), "success").otherwise("failed").alias("status"), reason.alias("reason"))
+
+
+def _lenient(spark: SparkSession):
+    """A reader that passes over files it can't read."""
+    return spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+
+
+def read_readings(spark: SparkSession, root: str, modality: str, time: str, value: str, least_bytes: int = 10, files: DataFrame | None = None) -> DataFrame:
+    """(series, <time>, <value>) as strings, of all files that ``scan_files`` (or its result ``files``) calls a success.
 
     Spark binds the columns of several CSV files by the first one's header, so
     files are read in groups of equal headers; header cells are stripped of blanks
-    and byte-order marks. Files under ``least_bytes`` are skipped.
+    and byte-order marks.
     """
-    files = [(s, p) for s, p, n in _listing(spark, root, modality) if n >= least_bytes]
-    empty = spark.createDataFrame([], f"series string, {time} string, {value} string")
-    if not files:
-        return empty
-    lines = spark.read.text([_escaped(p) for _, p in files], wholetext=False).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
-    # The header is the first line of a file's first split; only headers reach the driver.
-    heads = lines.where("at = 0").groupBy("path").agg(F.first("value").alias("head")).collect()
+    files = scan_files(spark, root, modality, time, value, least_bytes) if files is None else files
     groups: dict[str, list[str]] = {}
-    for r in heads:
-        groups.setdefault(r["head"], []).append(_escaped(unquote(r["path"])))
+    for r in files.where("status = 'success'").select("header", "path").collect():  # a reader has to be told its paths
+        groups.setdefault(r["header"], []).append(_escaped(r["path"]))
     parts = []
     for head, paths in groups.items():
-        cells = [c.strip().lstrip("﻿").strip().strip('"') for c in head.split(",")]
-        if time not in cells or value not in cells:
-            continue
+        cells = [c.strip('" \ufeff\t') for c in head.split(",")]
         schema = ", ".join(f"c{i} string" for i in range(len(cells)))
-        rows = spark.read.csv(paths, schema=schema, header=True, enforceSchema=True)
-        folder = F.url_decode(F.replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3), F.lit("+"), F.lit("%2B")))
+        rows = _lenient(spark).csv(paths, schema=schema, header=True, enforceSchema=True)
+        folder = F.url_decode(F.replace(_folder(F.col("_metadata.file_path"), 3), F.lit("+"), F.lit("%2B")))
         parts.append(rows.select(F.regexp_replace(folder, '^"+|"+$', "").alias("series"), F.col(f"c{cells.index(time)}").alias(time), F.col(f"c{cells.index(value)}").alias(value)))
-    return reduce(DataFrame.unionByName, parts, empty)
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], f"series string, {time} string, {value} string"))
 
 
 def _escaped(path: str) -> str:
@@ -69,7 +85,7 @@ def _escaped(path: str) -> str:
 def missing_series(roster: DataFrame, readings: DataFrame) -> DataFrame:
     """Log rows of roster entries without readings."""
     gone = roster.join(readings.select("series").distinct(), "series", "left_anti")
-    return gone.select("series", F.lit("failed").alias("status"), F.lit("Patient directory not found").alias("reason"))
+    return gone.select("series", F.lit("failed").alias("status"), F.lit("no readings found").alias("reason"))
 
 
 def select_series(df: DataFrame, part: str | None) -> DataFrame:
@@ -77,29 +93,45 @@ def select_series(df: DataFrame, part: str | None) -> DataFrame:
     return df if not part else df.where(F.col("series").cast("string").contains(part))
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of a stage's complete versions, oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(path)):
+        return []
+    found = [s.getPath() for s in fs.listStatus(hadoop(path)) if s.getPath().getName().startswith("v-")]
+    return sorted(p.toString() for p in found if fs.exists(hadoop(p, "_SUCCESS")))
+
+
 def write_stage(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """A stage's table as Parquet, dealt to ``buckets`` folders by series: many series share a folder, readers prune by it."""
+    """A stage's table as Parquet, dealt to ``buckets`` folders by series: many series share a folder, readers prune by it.
+
+    Every write is a version of its own beside those before, which are removed once
+    it is complete. Readers take the last complete one, so a write that breaks off
+    at any point leaves the stage as it was, and a stage can be rewritten from itself.
+    """
+    spark, old = df.sparkSession, _versions(df.sparkSession, path)
     bucket = F.pmod(F.xxhash64("series"), F.lit(buckets)).cast("int")
-    df.withColumn("bucket", bucket).repartition("bucket", "series").sortWithinPartitions("series", "ts").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    fresh = f"{path}/v-{clock.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.withColumn("bucket", bucket).repartition("bucket", "series").sortWithinPartitions("series", "ts").write.partitionBy("bucket").parquet(fresh)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for gone in old:
+        hadoop(gone).getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop(gone), True)
 
 
 def read_stage(spark: SparkSession, path: str, series=None, buckets: int = 64) -> DataFrame:
-    df = spark.read.parquet(path)
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(path)
+    df = spark.read.parquet(versions[-1])
     if series is not None:
         df = df.where(F.col("bucket") == F.pmod(F.xxhash64(F.lit(series)), F.lit(buckets)).cast("int")).where(F.col("series") == series)
     return df.drop("bucket")
 
 
 def replace_stage(df: DataFrame, path: str) -> None:
-    """Rewrites a stage from itself: the new version is written beside it and swapped in."""
-    spark = df.sparkSession
-    fresh = f"{path}.next"
-    write_stage(df, fresh)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    if not fs.rename(hadoop(fresh), hadoop(path)):
-        raise OSError(f"{fresh} could not be moved to {path}")
+    """Rewrites a stage from itself."""
+    write_stage(df, path)
 
 
 def write_log(log: DataFrame, path: str) -> None:
