@@ -16,38 +16,53 @@ the sets differ in members, so
   below, and rejects most false candidates unseen;
 * verification: what is left is compared set by set.
 
-Cells of common shingles come last in the order. How common a shingle is, is
-counted over all documents in a fixed number of counters; the order only decides
-how many candidates there are, never which links are found.
-
-Copies are one class throughout. Groups that share a cell are not expanded to
-pairs: every class is compared with the group's leader, the least class. Where
-classes of a group are then in several components, a few classes outside its
-largest component lead next and are compared with all others, until the classes
-that have not led are in one component.
+Cells go in the order of how often their rarest shingle occurs, counted over all
+documents in a fixed number of counters: what many documents share is a key only
+of documents that have little else. A set with at most ``d`` cells of rare
+shingles is *poor*. It has all of these cells as keys, its rare shingles one by
+one too, and then cells of common shingles. Two poor sets A and B that share no
+rare shingle differ in all of theirs, and in as many common ones as their numbers
+of common ones differ. A common key therefore pairs them only if A's size is
+within B's *reach* and B's within A's, ``n / t - (1 + 1 / t) * x`` for ``x`` rare
+ones among ``n``. The order and the reach decide how many candidates there are, never
+which links are found.
+
+Copies are one class throughout. Classes that share a key are not expanded to
+pairs: all are compared with the group's leader, the class with the fewest rare
+shingles. While classes of a group are in several components and within reach,
+those outside the group's largest component lead next, as many as the round's
+budget of pairs allows; a class that has led its group leaves it.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import connected_components
-from tidemark.llm.storage import materialize
+from tidemark.llm.components import connected_components, merge_components
+from tidemark.llm.storage import Scratch, materialize
 
 WIDTH = 5
-#: Counters of shingle frequencies, and the share of documents from which a shingle is common.
-COUNTERS = 1 << 22
-COMMON = 0.002
+#: Counters of shingle frequencies, in blocks that are summed by a task each.
+COUNTERS = 1 << 23
+BLOCK = 1 << 19
+#: Classes that must have a shingle for it to be common, and how many times the mean counter.
+COMMON, COMMON_MEAN = 64, 8
 #: Below this many members a cell is one member.
 SINGLE = 64
+#: Parts of a group of common keys, so that no task holds a group.
 SALTS = 64
-#: Classes that lead a group at once after the first; four times as many each round, up to the last.
-LEADERS = (64, 256, 1024)
+#: Pairs a round may make: so many, or so many a class.
+ROUND_PAIRS, ROUND_SHARE = 500_000, 2
+#: Classes of a group that may lead it in a round, where not all can.
+LEADERS = (1, 4, 16, 64, 256)
+#: Bits of the filter that spares most texts the way to the join (two a document).
+FILTER_BITS = 1 << 24
+#: In place of the number of rare shingles at a rare key, which pairs all its classes.
+ALWAYS = -1
 _U = np.uint64
+_SLOT = _U(41)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,20 +130,25 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def cell_keys(tokens: np.ndarray, common_at: np.ndarray, common_n: np.ndarray, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys (int64) of a set, and whether each is common."""
+def reach(n, rare, percent: int = 75):
+    """Size up to which a set of ``n`` with so many rare members may be linked to one that shares none of those."""
+    return (100 * n - (100 + percent) * rare) / percent
+
+
+def cell_keys(tokens: np.ndarray, codes: np.ndarray, common: int, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys (int64) of a set, and with each the number of the set's rare members: ``ALWAYS`` at rare keys.
+
+    ``codes`` are the counters' sizes by slot, ``common`` the least code of common ones.
+    """
     n = len(tokens)
     most = n * 100 // percent
     d = allowed(n, most, percent)
-    weight = np.zeros(n, np.int64)
-    if len(common_at):
-        slot = (tokens >> _U(40)).astype(np.int64) & (COUNTERS - 1)
-        at = np.searchsorted(common_at, slot)
-        at[at == len(common_at)] = 0
-        weight = np.where(common_at[at] == slot, common_n[at], 0)
-    keys, hot = [], []
-    c = band(n)
-    for space in {c, band(most)}:
+    weight = codes[tokens >> _SLOT].astype(np.int64) if len(codes) else np.zeros(n, np.int64)
+    rare = weight < common
+    x = int(rare.sum())
+    keys, at = [], []
+    poor = False
+    for space in {band(n), band(most)}:
         cells = 16 * 4**space
         with np.errstate(over="ignore"):
             if 4**space < SINGLE:
@@ -139,131 +159,216 @@ def cell_keys(tokens: np.ndarray, common_at: np.ndarray, common_n: np.ndarray, p
                 cell = cell[order]
                 first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
                 idx, xor, w = cell[first], np.bitwise_xor.reduceat(tokens[order], first), np.minimum.reduceat(weight[order], first)
-            use = np.lexsort((idx, w))[: d + 1] if w.any() else slice(0, d + 1)  # idx is sorted
+            use = np.lexsort((idx, w))[: d + 1] if w.any() else np.arange(min(d + 1, len(idx)))  # idx is sorted
+            hot = w[use] >= common
+            poor = poor or 4**space >= SINGLE and bool(hot.any())
+            if 100 * reach(n, x, percent) < percent * n:  # below the least size that any partner has
+                use, hot = use[~hot], hot[~hot]
             keys.append(_mix(xor[use] ^ _mix(idx[use] * _U(64) + _U(space))))
-            hot.append(w[use] > 0)
-    return np.concatenate(keys).view(np.int64), np.concatenate(hot)
+            at.append(np.where(hot, x, ALWAYS))
+    if poor:
+        with np.errstate(over="ignore"):
+            keys.append(_mix(tokens[rare] ^ _U(0xD6E8FEB86659FD93)))
+        at.append(np.full(len(keys[-1]), ALWAYS))
+    return np.concatenate(keys).view(np.int64), np.concatenate(at)
 
 
 def _profiles(docs: DataFrame, id_type: str) -> DataFrame:
-    """Per document (doc_id, n, cls, sketch); and per task its frequent counters as (slot, times) rows."""
+    """Per document (doc_id, n, cls, sketch); and per task its counters, a compressed block (block, counts) each.
+
+    A class that a task meets again is counted once. Counts of a task stop at 255.
+    """
 
     def profile(batches):
         import pyarrow as pa
+        import zstandard
 
-        counts, seen = np.zeros(COUNTERS, np.uint32), 0
-        names = ["doc_id", "n", "cls", "sketch", "slot", "times"]
+        counts, seen, some = np.zeros(COUNTERS, np.uint16), set(), False
+        names = ["doc_id", "n", "cls", "sketch", "block", "counts"]
         for b in batches:
             ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             n, cls, sketch = [], [], []
             for t in texts:
                 s = shingles(t)
+                c = set_class(s)
                 n.append(len(s))
-                cls.append(set_class(s))
+                cls.append(c)
                 sketch.append(bit_sketch(s))
-                np.add.at(counts, (s >> _U(40)).astype(np.int64) & (COUNTERS - 1), np.uint32(1))
-            seen += len(texts)
-            none = pa.nulls(len(texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), none, none], names)
-        slots = np.flatnonzero(counts >= max(3, COMMON * seen))
-        for at in range(0, len(slots), 50_000):
-            some = slots[at : at + 50_000]
-            none = [pa.nulls(len(some), b_type) for b_type in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int64()), pa.array(counts[some].astype(np.int64))], names)
+                if len(s) and c not in seen:
+                    some = True
+                    if len(seen) < 200_000:
+                        seen.add(c)
+                    slots = (s >> _SLOT).astype(np.int64)
+                    np.add.at(counts, slots, np.uint16(1))
+                    counts[slots] = np.minimum(counts[slots], 255)
+            size = len(texts)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())], names)
+        if some:
+            pack = zstandard.ZstdCompressor(level=1).compress
+            blocks = COUNTERS // BLOCK
+            none = [pa.nulls(blocks, k) for k in (ids.type, pa.int64(), pa.int64(), pa.binary())]
+            blobs = pa.array([pack(counts[k * BLOCK : (k + 1) * BLOCK].astype(np.uint8).tobytes()) for k in range(blocks)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(blocks), pa.int64()), blobs], names)
+
+    return docs.mapInArrow(profile, f"doc_id {id_type}, n long, cls long, sketch binary, block long, counts binary")
+
+
+def _counter_codes(profiles: DataFrame) -> tuple[np.ndarray, int]:
+    """(a byte a counter that grows with its count, the least code of a common one): ``COUNTERS`` bytes, whatever the input."""
+
+    def total(batches):
+        import pyarrow as pa
+        import zstandard
+
+        sums, unpack = {}, zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for k, blob in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                if k not in sums:
+                    sums[k] = np.zeros(BLOCK, np.int64)
+                sums[k] += np.frombuffer(unpack(blob), np.uint8)
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([int(x.sum())]), pa.array([_code(x).tobytes()], pa.binary())], ["block", "total", "codes"])
+
+    blobs = profiles.where("block IS NOT NULL").select("block", "counts")
+    rows = blobs.repartition(COUNTERS // BLOCK, "block").mapInArrow(total, "block long, total long, codes binary").collect()
+    codes = np.zeros(COUNTERS, np.uint8)
+    for r in rows:
+        codes[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["codes"], np.uint8)
+    mean = sum(r["total"] for r in rows) / COUNTERS
+    return codes, int(_code(np.array([max(COMMON, COMMON_MEAN * mean)]))[0])
 
-    return docs.mapInArrow(profile, f"doc_id {id_type}, n long, cls long, sketch binary, slot long, times long")
 
+def _code(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(255, np.round(8 * np.log2(1.0 + counts))).astype(np.uint8)
 
-def _candidates(docs: DataFrame, common: list, percent: int) -> DataFrame:
-    """(key, cls, hot) of every document; copies within a task count once."""
-    spark = docs.sparkSession
-    common = sorted(common)
-    held = spark.sparkContext.broadcast((np.array([s for s, _ in common], np.int64), np.array([t for _, t in common], np.int64)))
+
+def _candidates(docs: DataFrame, codes: np.ndarray, common: int, percent: int) -> DataFrame:
+    """(key, cls, rare) of every document; copies within a task count once."""
+    held = docs.sparkSession.sparkContext.broadcast((codes, common))
 
     def keys(batches):
         import pyarrow as pa
 
-        (at, n), done = held.value, set()
+        (codes, common), done = held.value, set()
         for b in batches:
-            k, c, h, size = [], [], [], 0
+            k, c, e, size = [], [], [], 0
             for t in b.column("text").to_pylist():
                 s = shingles(t)
                 if (cls := set_class(s)) not in done and len(s):
-                    done.add(cls)
-                    key, hot = cell_keys(s, at, n, percent)
+                    if len(done) < 200_000:
+                        done.add(cls)
+                    key, rare = cell_keys(s, codes, common, percent)
                     k.append(key)
-                    h.append(hot)
+                    e.append(rare)
                     c.append(np.full(len(key), cls))
                     size += len(key)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (k, c, h)], ["key", "cls", "hot"])
-                    k, c, h, size = [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (k, c, e)], ["key", "cls", "rare"])
+                    k, c, e, size = [], [], [], 0
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (k, c, h)], ["key", "cls", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (k, c, e)], ["key", "cls", "rare"])
 
-    return docs.select("text").mapInArrow(keys, "key long, cls long, hot boolean")
+    return docs.select("text").mapInArrow(keys, "key long, cls long, rare long")
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """(key, part, cls, leader, third) of the keys that two classes or more have; third: there are more than two.
+def _groups(rows: DataFrame, classes: DataFrame, space: Scratch, percent: int) -> DataFrame:
+    """(gid, cls, leader, n, reach) of the keys that two classes or more have.
 
-    A key of common shingles may hold a third of all classes: its rows are dealt
-    to ``SALTS`` parts by class, each with the least class as leader.
+    Rare keys with the same first and last class are one group, and common keys with
+    the same leader: all keys of a text and its near copies come to a few groups. A
+    common key may have a third of all classes: its rows are dealt to ``SALTS`` parts
+    by class, and the parts' first and last classes are combined.
     """
-    part = F.when(F.col("hot"), F.pmod("cls", F.lit(SALTS))).otherwise(-1)
+    hot = F.col("rare") > ALWAYS
+    part = F.when(hot, F.pmod("cls", F.lit(SALTS))).otherwise(-1)
     by_part = Window.partitionBy("key", "part")
-    rows = rows.withColumn("part", part).select("key", "part", "cls", F.min("cls").over(by_part).alias("leader"), F.max("cls").over(by_part).alias("last"))
-    rows = rows.withColumn("third", F.max((F.col("cls") != F.col("leader")) & (F.col("cls") != F.col("last"))).over(by_part))
-    return materialize(rows.where("part >= 0 OR leader <> last").select("key", "part", "cls", "leader", "third").distinct(), "groups")
-
-
-def _stars(groups: DataFrame) -> DataFrame:
-    """(a, b): every class with its part's leader, and the leaders of a key's parts (``SALTS`` at most) with the least of them."""
-    own = groups.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b"))
-    tops = groups.where("part >= 0 AND cls = leader").groupBy("key").agg(F.collect_set("leader").alias("tops")).where(F.size("tops") > 1)
-    tops = tops.select(F.array_min("tops").alias("a"), F.explode(F.array_except("tops", F.array(F.array_min("tops")))).alias("b"))
-    return own.unionByName(tops).distinct()
+    me = F.struct("rare", "cls")
+    rows = rows.withColumn("part", part)
+    rows = rows.select("key", "rare", "cls", F.min(me).over(by_part).alias("first"), F.max(me).over(by_part).alias("last"))
+    alone = ~hot & (F.col("first.cls") == F.col("last.cls"))
+    # Of a common key, each part's first row tells the key.
+    key = F.when(hot & (F.col("cls") == F.col("first.cls")), F.col("key"))
+    found = rows.where(~alone).select(F.xxhash64("first.cls", "last.cls", hot).alias("gid"), key.alias("key"), "rare", "cls", "first", "last")
+    found = space.keep(found.distinct(), "keys")
+    # Parts of a common key: its group's leader is the first of all parts.
+    parts = found.where("key IS NOT NULL").select("key", "gid", "first", "last").distinct()
+    ends = parts.groupBy("key").agg(F.min("first").alias("f"), F.max("last").alias("l")).where("f.cls <> l.cls")
+    whole = parts.select("key", F.col("gid").alias("part")).join(ends, "key").select("part", F.xxhash64("f.cls").alias("gid"), F.col("f.cls").alias("leader")).distinct()
+    in_parts = found.where(hot).select(F.col("gid").alias("part"), "cls", "rare").distinct()
+    common = in_parts.join(whole, "part").select("gid", "cls", "rare", "leader")
+    rare = found.where(~hot).select("gid", "cls", F.lit(0).alias("rare"), F.col("first.cls").alias("leader"))
+    merged = rare.unionByName(common).repartition("cls").groupBy("cls", "gid").agg(F.min("rare").alias("rare"), F.min("leader").alias("leader"))
+    groups = merged.join(classes.select("cls", "n"), "cls").select("gid", "cls", "leader", "n", reach(F.col("n"), F.col("rare"), percent).alias("reach"))
+    groups = space.keep(groups, "groups")
+    space.drop(found)
+    return groups
 
 
 def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """``rows`` (key, cls, done) with ``c``, the component of the class (itself without links).
+    """``rows`` (gid, cls, n, reach) with ``c``, the component of the class (itself without links).
 
     The labels travel as rows of their own and are spread by a window over the
-    class, which holds one set's keys, so no join has to carry a large group.
+    class, which holds one set's groups, so no join has to carry a large group.
     """
-    marks = comp.select(F.lit(None).cast("long").alias("key"), F.col("node").alias("cls"), F.lit(None).cast("boolean").alias("done"), F.col("component").alias("c"))
-    both = rows.withColumn("c", F.lit(None).cast("long")).unionByName(marks)
+    null = lambda t: F.lit(None).cast(t)
+    marks = comp.select(null("long").alias("gid"), F.col("node").alias("cls"), null("long").alias("n"), null("double").alias("reach"), F.col("component").alias("c"))
+    both = rows.select("gid", "cls", "n", "reach").withColumn("c", null("long")).unionByName(marks)
     both = both.withColumn("c", F.coalesce(F.max("c").over(Window.partitionBy("cls")), "cls"))
-    return both.where("done IS NOT NULL")
+    return both.where("gid IS NOT NULL")
 
 
-def _challenge(rows: DataFrame, comp: DataFrame, leaders: int) -> tuple[DataFrame, DataFrame]:
-    """(rows still open with the new leaders done, pairs (a, b) of leaders and classes of other components).
+def _open(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows that may be linked with a class of another component of their group, with ``c``.
 
-    A key is open while the classes that have not led it are in two components or
-    more: all other pairs across components have been compared, or would join what
-    is joined. ``leaders`` classes outside a key's largest component lead it next.
+    All figures of a group are aggregates of its rows, combined before they are
+    exchanged, and joined back: a group may be large.
     """
-    key = Window.partitionBy("key")
     rows = _labelled(rows, comp)
-    fresh = F.when(~F.col("done"), F.col("c"))
-    rows = rows.withColumn("lo", F.min(fresh).over(key)).withColumn("hi", F.max(fresh).over(key)).where("lo <> hi")
-    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("key", "c")))
-    rows = rows.withColumn("large", F.max(F.struct("size", "c")).over(key)["c"])
-    may = ~F.col("done") & (F.col("c") != F.col("large"))
-    rows = rows.withColumn("may", may).withColumn("rank", F.row_number().over(key.orderBy(F.col("may").desc(), "cls")))
-    rows = rows.withColumn("leads", F.col("may") & (F.col("rank") <= leaders))
-    rows = rows.withColumn("leaders", F.collect_list(F.when(F.col("leads"), F.col("cls"))).over(key))
-    rows = materialize(rows.select("key", "cls", (F.col("done") | F.col("leads")).alias("done"), "leaders"), "open")
-    met = rows.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))
-    pairs = met.select("cls", F.explode("leaders").alias("leader")).where("cls <> leader")
-    return rows.select("key", "cls", "done"), pairs.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
+    by_comp = rows.groupBy("gid", "c").agg(F.min("n").alias("n"), F.max("reach").alias("far"), F.count("*").alias("size"))
+    all_comps = by_comp.groupBy("gid").agg(
+        F.min(F.struct("n", "c")).alias("least"), F.max(F.struct("far", "c")).alias("most"), F.max(F.struct("size", "c"))["c"].alias("large"), F.count("*").alias("comps")
+    ).where("comps > 1")
+    # What the other components have, for the component that has the least size or the greatest reach itself.
+    other = by_comp.join(all_comps.select("gid", "least", "most"), "gid").groupBy("gid").agg(
+        F.min(F.when(F.col("c") != F.col("least.c"), F.col("n"))).alias("least2"), F.max(F.when(F.col("c") != F.col("most.c"), F.col("far"))).alias("most2")
+    )
+    ends = all_comps.join(other, "gid")
+    size = F.when(F.col("c") == F.col("least.c"), F.col("least2")).otherwise(F.col("least.n"))
+    far = F.when(F.col("c") == F.col("most.c"), F.col("most2")).otherwise(F.col("most.far"))
+    rows = rows.join(ends, "gid").where((size <= F.col("reach")) & (F.col("n") <= far))
+    return rows.select("gid", "cls", "n", "reach", "c", "large")
+
+
+def _challenge(rows: DataFrame, budget: int, space: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows that have not led, pairs (a, b) of leaders and others of their groups), for rows of ``_open``.
+
+    The classes outside a group's largest component lead, those with the greatest
+    reach first; if all would make more than ``budget`` pairs, as many of each group
+    as keep within it, one at least.
+    """
+    may = F.col("c") != F.col("large")
+    sizes = rows.groupBy("gid").agg(F.count("*").alias("size"), F.count_if(may).alias("can"))
+    costs = sizes.agg(*[F.sum(F.col("size") * F.least("can", F.lit(x))).alias(f"c{x}") for x in LEADERS], F.sum(F.col("size") * F.col("can")).alias("all")).first()
+    leaders = rows.where(may)
+    if (costs["all"] or 0) > budget:
+        lead = max(x for x in LEADERS if x == 1 or costs[f"c{x}"] <= budget)
+        leaders = leaders.withColumn("rank", F.row_number().over(Window.partitionBy("gid").orderBy(F.col("reach").desc(), "cls"))).where(F.col("rank") <= lead)
+    leaders = space.keep(leaders.select("gid", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("reach").alias("ra"), F.col("c").alias("ca")), "leaders")
+    both = rows.join(leaders, "gid").where(F.col("c") != F.col("ca")).where((F.col("n") <= F.col("ra")) & (F.col("na") <= F.col("reach")))
+    pairs = both.select(F.least("cls", "a").alias("a"), F.greatest("cls", "a").alias("b")).distinct()
+    rest = rows.join(leaders.select("gid", F.col("a").alias("cls")), ["gid", "cls"], "left_anti")
+    return rest.select("gid", "cls", "n", "reach"), pairs
+
+
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
 def _prune(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sizes and sketches allow a link, with ra, rb, the documents that stand for them."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("na") * 100 >= F.col("nb") * percent).where(F.col("nb") * 100 >= F.col("na") * percent)
+    """The pairs (a, b) of classes whose sizes and sketches allow a link."""
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb"), percent))
 
     def near(batches):
         import pyarrow as pa
@@ -271,73 +376,107 @@ def _prune(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             cols = [b.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")]
             ok = [hamming(sa, sb) <= allowed(na, nb, percent) for na, nb, sa, sb in zip(*cols, strict=True)]
-            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b", "ra", "rb"])
+            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    id_type = dict(classes.dtypes)["rep"]
-    return sized.select("a", "b", "ra", "rb", "na", "nb", "sa", "sb").mapInArrow(near, f"a long, b long, ra {id_type}, rb {id_type}")
+    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked, with their shared and united sizes."""
-    pairs = materialize(pairs, "pairs")
-    need = materialize(pairs.select(F.explode(F.array("ra", "rb")).alias("doc_id")).distinct(), "need")
+def _members(docs: DataFrame, classes: DataFrame, need: DataFrame) -> DataFrame:
+    """(cls, members) of the classes ``need`` (cls), and of some others.
+
+    A filter of ``FILTER_BITS`` bits over their ids keeps most other texts from the
+    exchange; what passes it by chance does no harm.
+    """
+    reps = classes.join(need, "cls").select(F.col("rep").alias("doc_id"))
+    slots = lambda: F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(FILTER_BITS)) for k in range(2)]))
+    words = reps.select(slots().alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 32 AS INT)))").alias("bits"))
+    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    for r in words.collect():  # FILTER_BITS / 32 rows at most
+        table[r["word"]] = r["bits"]
+    held = docs.sparkSession.sparkContext.broadcast(table)
 
     def sets(batches):
         import pyarrow as pa
 
         for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for c in ("s0", "s1"):
+                s = b.column(c).to_numpy()
+                ok &= (held.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1 > 0
+            b = b.filter(pa.array(ok))
             for t in b.column("text").to_pylist():
                 s = shingles(t)
-                yield pa.RecordBatch.from_arrays([pa.array([set_class(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["cls", "members"])
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array([set_class(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["cls", "members"])
+
+    hashed = docs.where("doc_id IS NOT NULL").select("text", *[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(FILTER_BITS)).alias(f"s{k}") for k in range(2)])
+    return hashed.mapInArrow(sets, "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
+
+
+def _verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are linked, as (u, v, shared, united)."""
 
     def compare(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for batch in batches:
             out = []
-            for x, y, ma, mb in zip(*[b.column(c).to_pylist() for c in ("a", "b", "ma", "mb")], strict=True):
-                p, q = np.frombuffer(ma, _U), np.frombuffer(mb, _U)
+            for x, y, ma, mb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ma"), batch.column("mb"), strict=True):
+                p, q = np.frombuffer(ma.as_buffer(), _U), np.frombuffer(mb.as_buffer(), _U)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 united = len(p) + len(q) - shared
                 if 100 * shared >= percent * united:
                     out.append((x, y, shared, united))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["u", "v", "shared", "united"])
 
-    members = docs.join(need, "doc_id", "left_semi").select("text").mapInArrow(sets, "cls long, members binary")
     side = lambda x: members.select(F.col("cls").alias(x), F.col("members").alias(f"m{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "ma", "mb").mapInArrow(compare, "u long, v long, shared long, united long").distinct()
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "ma", "mb").mapInArrow(compare, "u long, v long, shared long, united long")
 
 
-def jaccard_links(docs: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, links) of ``docs`` (doc_id, text).
+def jaccard_links(docs: DataFrame, percent: int = 75, space: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, classes, links, components) of ``docs`` (doc_id, text).
 
     members: doc_id, n, cls, a row a document; classes: cls, rep (least doc_id), n,
     sketch; links (u, v, shared, united): verified pairs of classes that connect
-    all linked classes. Two texts with equal sets are in one class.
+    all linked classes; components (node, component): of the classes with links.
+    Two texts with equal sets are in one class. ``space`` holds the tables.
     """
+    space = space or Scratch(docs.sparkSession, "jaccard")
     id_type = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text")
-    profiles = materialize(_profiles(docs, id_type), "profiles")
+    profiles = space.keep(_profiles(docs, id_type), "profiles")
     members = profiles.where("n IS NOT NULL").select("doc_id", "n", "cls", "sketch")
-    n_docs = members.count()
-    # At most (mean set size) / COMMON counters can pass, whatever the number of documents.
-    common = profiles.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("times").alias("times")).where(F.col("times") >= max(3, COMMON * n_docs)).collect()
+    codes, common = _counter_codes(profiles)
     classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
-    groups = _groups(_candidates(docs.where("doc_id IS NOT NULL"), common, percent))
-    links = materialize(_verify(_prune(_stars(groups), classes, percent), docs, percent), "links")
-    # A pair of classes has been compared already; so has a rare key's leader with all others.
-    rows = groups.where("part >= 0 OR third").select("key", "cls", (F.col("part") < 0).alias("rare"), "leader").select("key", "cls", (F.col("rare") & (F.col("cls") == F.col("leader"))).alias("done"))
-    comp, count = materialize(connected_components(links), "comp"), links.count()
-    for leaders in itertools.chain(LEADERS, itertools.repeat(LEADERS[-1])):
-        rows, pairs = _challenge(rows, comp, leaders)
-        if rows.isEmpty():
-            return members, classes, links
-        links = materialize(links.unionByName(_verify(_prune(pairs, classes, percent), docs, percent)).distinct(), "links")
-        if links.count() > count:
-            comp, count = materialize(connected_components(links), "comp"), links.count()
-    raise AssertionError("every round closes keys or names leaders")
+    classes = space.keep(classes, "classes")
+    members = members.drop("sketch")
+    groups = _groups(_candidates(docs.where("doc_id IS NOT NULL"), codes, common, percent), classes, space, percent)
+    tops = groups.groupBy("gid").agg(F.max(F.when(F.col("cls") == F.col("leader"), F.struct("n", "reach"))).alias("top"))
+    stars = groups.where("cls <> leader").join(tops, "gid").where((F.col("n") <= F.col("top.reach")) & (F.col("top.n") <= F.col("reach")))
+    pairs = stars.select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b")).distinct()
+    pairs = space.keep(_prune(pairs, classes, percent), "pairs")
+    sets = space.keep(_members(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "sets", "none")
+    links = space.keep(_verify(pairs, sets, percent), "links")
+    space.drop(pairs, sets)
+    comp = space.keep(connected_components(links, space), "comp")
+    rows = groups.where("cls <> leader")
+    budget = max(ROUND_PAIRS, ROUND_SHARE * classes.count())
+    while True:
+        live = space.keep(_open(rows, comp), "open")
+        if live.isEmpty():
+            return members, classes, links, comp
+        rest, pairs = _challenge(live, budget, space)
+        pairs = space.keep(_prune(pairs, classes, percent), "pairs")
+        if not pairs.isEmpty():
+            sets = space.keep(_members(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "sets", "none")
+            more = space.keep(_verify(pairs, sets, percent), "links")
+            space.drop(sets)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                comp = space.keep(merge_components(comp, more, space), "comp")
+        rows = space.keep(rest, "rows")
+        space.drop(pairs, live)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -349,13 +488,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     has a NULL component. Rows that repeat a doc_id with other texts keep the
     component of their own text.
     """
-    members, classes, links = jaccard_links(docs, percent)
-    comp = connected_components(links)
-    roots = comp.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
-    least = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    by_class = classes.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left").join(least, "component", "left").join(ends.withColumnRenamed("node", "cls"), "cls", "left")
-    by_class = by_class.select("cls", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    found = members.where("n > 0 AND doc_id IS NOT NULL").join(by_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = members.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return found.unionByName(alone)
+    with Scratch(docs.sparkSession, "jaccard") as space:
+        members, classes, links, comp = jaccard_links(docs, percent, space)
+        roots = comp.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
+        least = roots.groupBy("component").agg(F.min("rep").alias("component_id"))
+        ends = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+        linked = comp.join(least, "component").join(ends, "node", "left").select(F.col("node").alias("cls"), "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        by_class = classes.select("cls", "rep").join(linked, "cls", "left")
+        by_class = by_class.select("cls", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        found = members.where("n > 0 AND doc_id IS NOT NULL").join(by_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+        alone = members.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        return materialize(found.unionByName(alone), "near")

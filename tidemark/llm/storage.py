@@ -7,11 +7,17 @@ session names in ``spark.checkpoint.dir``. Only where that setting is absent
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: While a table is written. Shuffle files of a query go when it has ended: what it wrote is in the shared folder.
+#: Rows go to Python in small batches, as whole texts and sets are long.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
 
 def shared_root(spark: SparkSession) -> str:
     """Folder shared by the driver and all executors.
@@ -31,12 +37,74 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path, compression=compression)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def _settings(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    try:
+        for k, v in _SETTINGS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def write(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to ``path`` as Parquet and read it back; its shuffle files are removed."""
+    with _settings(df.sparkSession):
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, cutting its lineage.
+
+    The folder outlives the call, as a result may be read at any time, and is
+    removed when the driver ends. Tables needed for a while go to a ``Scratch``.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    atexit.register(_remove_late, spark, path)
+    return write(df, path, compression)
+
+
+def _remove_late(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        remove(spark, path)
+
+
+class Scratch:
+    """Tables of one run, under a folder of the shared storage that is removed when the run ends.
+
+    ``with Scratch(spark, "tag") as space:`` then ``space.keep(df, name)`` writes and
+    reads back, ``space.drop(kept)`` removes a table that is not needed any more.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root, self.paths = spark, scratch_path(spark, tag), {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.root)
+
+    def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        path = f"{self.root}/{name}-{len(self.paths)}"
+        out = write(df, path, compression)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            remove(self.spark, self.paths[id(t)][0])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
