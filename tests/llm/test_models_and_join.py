@@ -1,9 +1,10 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_rows import SCHEMA, rows
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, quality, queries, toxicity
 from tidemark.llm.components import connected_components
+from tidemark.llm.labelled import labelled_sample
+from tidemark.llm.storage import Scratch
 
 
 def sets(text):
@@ -64,7 +67,7 @@ def edited_copies(seed, n, vocab=400):
 def test_join_near_the_threshold(spark, shared, seed, monkeypatch):
     docs = edited_copies(seed, 14)
     if seed == 2:  # nearly every shingle counts as common, so hot groups are split and combined
-        monkeypatch.setattr(jaccard_join, "COMMON", 0.0)
+        monkeypatch.setattr(jaccard_join, "COMMON", 3)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
     assert got == brute_components(docs)
@@ -102,18 +105,22 @@ def test_linked_sets_share_a_key(seed, n, part):
     b = np.unique(np.r_[a[~drop], rng.integers(0, 2**63, int(drop.sum()), dtype=np.uint64)])
     shared = len(np.intersect1d(a, b))
     if len(b) and 100 * shared >= 75 * (len(a) + len(b) - shared):
-        none = np.empty(0, np.int64)
-        common = np.unique((a[: n // 2] >> np.uint64(40)).astype(np.int64) & (jaccard_join.COUNTERS - 1))
-        for at in (none, common):
-            keys = [set(jaccard_join.cell_keys(s, at, np.full(len(at), 9))[0].tolist()) for s in (a, b)]
-            assert keys[0] & keys[1]
+        codes = np.zeros(jaccard_join.COUNTERS, np.uint8)
+        for most in (0, n // 2, n - n // 8, n):  # so many members are common
+            codes[(a[:most] >> jaccard_join._SLOT).astype(np.int64)] = 99
+            keys = [dict(zip(*(x.tolist() for x in jaccard_join.cell_keys(s, codes, 50)), strict=True)) for s in (a, b)]
+            both = [(keys[0][k], keys[1][k]) for k in keys[0].keys() & keys[1].keys()]
+            # A rare key, or a common one that pairs the two.
+            near = lambda x, y: len(b) <= jaccard_join.reach(len(a), x) and len(a) <= jaccard_join.reach(len(b), y)
+            assert any(x == y == jaccard_join.ALWAYS or near(x, y) for x, y in both)
 
 
 def test_components_of_chains_and_hubs(spark, shared):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(300, 299), (298, 299)]
     got = defaultdict(set)
-    for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect():
-        got[r.component].add(r.node)
+    with Scratch(spark, "test") as space:
+        for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(5), space).collect():
+            got[r.component].add(r.node)
     assert got == {0: set(range(41)), 100: set(range(100, 160)), 298: {298, 299, 300}}
 
 
@@ -150,6 +157,68 @@ def test_toxicity_on_held_out_documents(spark, corpus):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
 
 
+def test_ftrl_is_the_published_update():
+    """Coordinate by coordinate, with a dictionary for each state."""
+    import math
+
+    rng = random.Random(4)
+    rows = [(sorted(rng.sample(range(40), rng.randint(0, 12))), rng.randint(0, 1)) for _ in range(200)]
+    alpha, beta, l1, l2, bias = 0.5, 1.0, 0.7, 0.1, 40
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if i != bias and abs(z[i]) <= l1 or z[i] == 0:
+            return 0.0
+        return -(z[i] - (0 if i == bias else math.copysign(l1, z[i]))) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    model = toxicity.FtrlProximal(40, alpha, beta, l1, l2)
+    for at, label in rows:
+        p = 1 / (1 + math.exp(-sum(map(weight, [*at, bias]))))
+        for i, w in [(i, weight(i)) for i in [*at, bias]]:
+            g = p - label
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - sigma * w
+            n[i] += g * g
+        model.update(np.array([*at, bias]), label)
+    assert model.weights(np.arange(41)) == pytest.approx([weight(i) for i in range(41)], abs=1e-12)
+    assert (model.weights(np.arange(40)) == 0).any()
+
+
+def test_toxicity_scores_by_brute_force(spark, corpus):
+    """Training and scoring over again on the driver, features counted from their definition."""
+    docs, labels, out, lab = corpus
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    texts = {i: t for i, t, *_ in out}
+    learn = [(str(i), int(t), np.unique(toxicity.features(texts[i]))) for i, _, t in lab if zlib.crc32(str(i).encode()) % 5]
+    learn.sort(key=lambda r: (zlib.crc32(r[0].encode()), r[0]))
+    model, bias = toxicity.FtrlProximal(1 << toxicity.BITS), 1 << toxicity.BITS
+    for _ in range(3):
+        for _, label, at in learn:
+            model.update(np.r_[at, bias], label)
+    for i, t in texts.items():
+        x = model.weights(np.r_[np.unique(toxicity.features(t)), bias]).sum()
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-9)
+
+
+def test_model_queries_with_clashing_columns(spark, sf_dir):
+    """Both as queries, on tables whose extra columns are named like outputs."""
+    docs = {r[0]: r[1] for r in rows()}
+    scored = queries.op5_toxicity(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in scored) == sorted(docs) and all(0 <= r.score <= 1 for r in scored)
+    kept = queries.op10_quality_resampling(spark, sf_dir)
+    assert kept.columns == ["doc_id", "log_weight", "gumbel_key"] and {r.doc_id for r in kept.collect()} <= set(docs)
+
+
+def test_labelled_sample_keeps_its_bound(spark, shared):
+    """A repeated id brings one row, whatever the number of its rows; odd labels and ids are left out."""
+    docs = spark.createDataFrame([(7, f"text {i % 9}") for i in range(500)] + [(i, f"t{i}") for i in range(100, 160)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (None, 1), (100, None), (101, 5)] + [(i, i % 2) for i in range(102, 160)], "doc_id long, toxic long")
+    got = labelled_sample(docs, labels, "toxic", 41, skip_held_out=False).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 41 and not {None, 100, 101} & {r.doc_id for r in got}
+    whole = {r.doc_id: r.label for r in labelled_sample(docs, labels, "toxic", 1000, skip_held_out=False).collect()}
+    assert whole == {7: 1} | {i: i % 2 for i in range(102, 160)}
+
+
 def test_toxicity_ignores_held_out_labels_and_other_columns(spark, corpus):
     docs, labels, _, lab = corpus
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -174,6 +243,43 @@ def test_quality_keeps_good_and_drops_bad(spark, corpus):
     assert len(kept & good) >= 0.99 * len(good) and len(kept - good) <= 0.01 * len(out)
 
 
+def test_quality_weights_by_brute_force(spark, corpus):
+    """The target model of good labelled texts and the raw model of all texts, counted in dictionaries."""
+    import math
+
+    docs, labels, out, lab = corpus
+    texts, good = {i: t for i, t, *_ in out}, {i for i, q, _ in lab if q}
+    target, raw = Counter(), Counter()
+    for i, t in texts.items():
+        grams = quality.ngrams(t).tolist()
+        raw.update(grams)
+        if i in good:
+            target.update(grams)
+    scale = sum(target.values()) / sum(raw.values())
+    weight = {i: sum(math.log((target[g] + 8) / (raw[g] * scale + 8)) for g in quality.ngrams(t).tolist()) for i, t in texts.items()}
+    cut = quality.fit(docs, labels)[1]
+    rows = quality.resample(docs, labels).collect()
+    k = sum(w >= cut for w in weight.values())
+    assert len(rows) == k and all(r.log_weight == pytest.approx(weight[r.doc_id], abs=1e-6) for r in rows)
+    noise = {i: -math.log(-math.log(((xxhash.xxh3_64_intdigest(str(i), 11) >> 11) + 0.5) / 2**53)) for i in texts}
+    assert {r.doc_id for r in rows} == set(sorted(texts, key=lambda i: -(weight[i] + noise[i]))[:k])
+
+
+def test_quality_of_odd_rows(spark, corpus):
+    """NULL and empty texts weigh 0, NULL ids are judged, equal rows are drawn together, also at the last key."""
+    _, labels, *_ = corpus
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, "abc !!"), (3, "abcde"), (3, "abcde")], "doc_id long, text string")
+    got = quality.resample(odd, labels.where("doc_id < 0")).collect()
+    assert len(got) == 5 and all(r.log_weight == 0 for r in got)
+    top = max(r.gumbel_key for r in got)
+    for k in range(1, 6):
+        some = quality.resample(odd, labels.where("doc_id < 0"), k=k).collect()
+        least = sorted((r.gumbel_key for r in got), reverse=True)[k - 1]
+        assert sorted(map(str, some)) == sorted(str(r) for r in got if r.gumbel_key >= least) and max(r.gumbel_key for r in some) == top
+    whole = quality.keep(odd.withColumn("log_weight", F.lit("x")), labels.where("doc_id < 0"))
+    assert whole.columns == ["doc_id", "text", "log_weight"] and whole.count() == 5
+
+
 def test_quality_is_gumbel_top_k(spark, corpus):
     docs, labels, *_ = corpus
     all_rows = quality.resample(docs, labels.where("quality = 1")).collect()  # no bad labels: all pass

@@ -8,7 +8,7 @@ from test_scan_media_shard import spans
 from test_streams_and_packing import check_packing
 
 from tidemark.llm import quality
-from tidemark.llm.storage import read_table, scratch_path
+from tidemark.llm.storage import read_table, scratch_path, write
 
 
 def redacted(text):
@@ -56,3 +56,39 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
 def test_run_is_the_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
+
+
+def odd_rows():
+    """Repeated rows, NULL ids, one id with several texts, NULL and empty texts."""
+    long = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"thing{i}" for i in range(40))
+    near = long.replace("word39", "else")
+    rows = [(1, long, "en", "a", 7)] * 3 + [(2, other, "en", "a", 7), (2, near, "en", "a", 7), (None, long, "en", "a", 7), (None, "alone here", "en", None, 7), (None, "alone here", "en", None, 7)]
+    return rows + [(5, None, "en", "b", None), (5, None, "en", "b", None), (6, "", "en", "b", 0), (7, "secret=abcdefghijkl tail", "en", "b", 0), (None, "secret=abcdefghijkl tail", "en", "b", 0)]
+
+
+def test_stages_judge_rows(spark, shared, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = write(spark.createDataFrame(odd_rows(), schema), scratch_path(spark, "odd"))
+    quality_, near, secrets, mixed, packed = (f for _, f in corpus_pipeline.STAGES)
+    empty = scratch_path(spark, "labels")
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{empty}/labels.parquet")
+    assert quality_(spark, docs, empty).count() == docs.count()  # nothing labelled: all rows stay, NULL ids too
+    kept = near(spark, docs, sf_dir).collect()
+    # One of the group of the long text (its copies and the near one), the other text of id 2, one "alone", one secret, all without words.
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, odd_rows()[0][1]), (2, odd_rows()[3][1]), (None, "alone here"), (5, None), (5, None), (6, ""), (7, "secret=abcdefghijkl tail")])
+    # A table that is no file is taken as it is.
+    assert near(spark, spark.createDataFrame(odd_rows(), schema), sf_dir).count() == len(kept)
+    clean = secrets(spark, docs, sf_dir).collect()
+    assert Counter(r.text for r in clean) == Counter(t if t is None else redacted(t) for _, t, *_ in odd_rows())
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = sum(words(t) for _, t, *_ in odd_rows())
+    got = mixed(spark, docs, sf_dir).collect()
+    assert sum(words(r.text) for r in got) == total
+    wanted = mixed(spark, write(spark.createDataFrame([(1, "a b c", "en", "s", 0)] * 6 + [(2, "x " * 400, "en", "t", 0)], schema), scratch_path(spark, "mix")), sf_dir).collect()
+    # Targets 5 : 2 of 418 words, the first stopped at three times its 18.
+    assert sum(words(r.text) for r in wanted if r.source == "s") == 54 and sum(words(r.text) for r in wanted if r.source == "t") == 364
+    pieces = packed(spark, docs, sf_dir)
+    assert pieces.groupBy().sum("length").first()[0] == sum(r.doc_tokens for r in pieces.where("start = 0").collect())
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import packing, queries, source_mix, token_store
 from tidemark.llm.storage import scratch_path
-from tidemark.llm.streams import ordered_cells, stream_offsets
+from tidemark.llm.streams import ordered_cells, stream_offsets, sums_before
 
 
 def encode(name, texts, end):
@@ -152,6 +152,36 @@ def test_packing_keeps_proportions(spark, small_docs):
             assert abs(run[s] - t * done / all_tokens) <= (1 + len(total) / 2) * 16  # each queue within a turn of the common counter
 
 
+def test_packing_to_target_proportions(spark, shared):
+    """Weights other than the corpus's: each window's proportions, with what is owed carried on, until a queue is empty."""
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 50, rng.integers(1, 200))), "en", s, 0) for i, s in enumerate(["a"] * 60 + ["b"] * 20 + [None] * 20 + ["rest"] * 10)]
+    df, weights = spark.createDataFrame(docs, SCHEMA), {"a": 1.0, "b": 5.0, None: 2.0}
+    pieces = packing.pack(df, queries.vocabulary("byte_bpe_50k.json"), window=256, quantum=32, weights=weights).collect()
+    check_packing(pieces, {r[0]: r[1] for r in docs}, 256)
+    left, served, dry = Counter(), Counter(), False
+    share = {"a": 1.0, "b": 5.0, None: 2.0, "rest": 1.0}
+    for r in pieces:
+        left[r.source] += r.length
+    for k in range(max(r.sequence_id for r in pieces) + 1):
+        mine = [r for r in pieces if r.sequence_id == k]
+        for r in mine:
+            left[r.source] -= r.length
+            served[r.source] += r.length
+        if dry := dry or min(left.values()) < 64:
+            break
+        done = sum(served.values())
+        for s, w in share.items():
+            assert abs(served[s] - done * w / 9) <= 32 * 3, (k, s)
+    assert dry and k > 10
+
+
+def test_sums_before(spark):
+    values = {k: k % 7 for k in [0, 5, 4095, 4096, 9000, 10**9, 2**40]}
+    got = {r["at"]: r["out"] for r in sums_before(spark.createDataFrame(list(values.items()), "at long, n long"), "at", "n", "out").collect()}
+    assert got == {k: sum(v for x, v in values.items() if x < k) for k in values}
+
+
 def test_packing_nothing(spark, no_docs):
     assert packing.pack(no_docs, queries.vocabulary("byte_bpe_50k.json")).count() == 0
 

@@ -78,6 +78,20 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     return F.coalesce(F.filter(para, lambda k: differ(k, "paragraphs")), F.array().cast("array<int>"))
 
 
+def _next_cells(cells: DataFrame, span: int = 4096) -> DataFrame:
+    """(cell, follower): the greatest cell below each of the distinct ``cells``; of the least, the greatest of all.
+
+    Two levels: within a span of numbers by a window of its own, between spans by
+    one over the spans that have cells, so no task orders all cells.
+    """
+    spans = cells.withColumn("span", F.floor(F.col("cell") / span))
+    ends = spans.groupBy("span").agg(F.min("cell").alias("low"), F.max("cell").alias("high"))
+    ends = ends.select("span", "low", F.coalesce(F.lag("high").over(Window.orderBy("span")), F.max("high").over(Window.partitionBy())).alias("before"))
+    inner = spans.withColumn("prior", F.lag("cell").over(Window.partitionBy("span").orderBy("cell")))
+    firsts = ends.select(F.col("low").alias("cell"), F.col("before").alias("follower"))
+    return inner.where("prior IS NOT NULL").select("cell", F.col("prior").alias("follower")).unionByName(firsts)
+
+
 def with_next(docs: DataFrame, rows_per_cell: int = 256) -> DataFrame:
     """``docs`` (doc_id, text not null) with ``next_text``: the text of the next document in descending doc_id, after the last of the first.
 
@@ -93,7 +107,7 @@ def with_next(docs: DataFrame, rows_per_cell: int = 256) -> DataFrame:
     heads = firsts.groupBy("cell").agg(F.max("doc_id").alias("top"))
     hashes = firsts.select("cell", "doc_id", "h").join(heads, "cell").where(F.col("doc_id").eqNullSafe(F.col("top")))
     heads = hashes.groupBy("cell", "doc_id").agg(F.min("h").alias("h"))
-    chain = heads.select("cell", F.coalesce(F.lag("cell").over(Window.orderBy("cell")), F.max("cell").over(Window.partitionBy())).alias("follower"))
+    chain = _next_cells(heads.select("cell"))
     lookup = heads.alias("a").join(chain.alias("c"), F.col("a.cell") == F.col("c.follower")).select(F.col("c.cell").alias("cell"), F.col("a.doc_id").alias("hd"), F.col("a.h").alias("hh"))
     text = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("dh"), F.col("text").alias("head_text"))
     texts = text.join(lookup, F.col("d").eqNullSafe(F.col("hd")) & (F.col("dh") == F.col("hh"))).groupBy("cell").agg(F.min("head_text").alias("head_text"))

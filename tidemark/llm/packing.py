@@ -1,13 +1,15 @@
 """Mixture-controlled packing of token sequences.
 
 Each source is a queue of tokens served in turns of ``quantum`` tokens. Deficit
-round-robin gives source ``s`` its ``k``-th turn when the round counter, which
-runs in proportion to the sources' weights, reaches ``(k + 1/2) / turns(s)``: a
-source is then never more than one turn ahead of or behind its share, and what
-it is behind at the end of one window (or of one partition of windows) is carried
-to the next, since the counter is global. The order of turns is thus known
-without running the scheduler from the start: turns are dealt to ranges of the
-counter, ordered within each, and placed after the token counts of the ranges
+round-robin credits a source with its weight's share of every token that is
+packed and serves it a turn whenever its deficit is half a turn: its ``k``-th
+turn comes when the round counter reaches ``(k + 1/2) * quantum / weight``. A
+source is then never more than a turn ahead of or behind its share, and what it
+is behind at the end of one window (or of one partition of windows) is carried to
+the next, since the counter is global. A queue that is empty has no more turns;
+the others then share the windows by their weights. The order of turns is thus
+known without running the scheduler from the start: turns are dealt to ranges of
+the counter, ordered within each, and placed after the token counts of the ranges
 before.
 """
 
@@ -20,7 +22,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm.encoding import chunks, encoder
 from tidemark.llm.storage import materialize
-from tidemark.llm.streams import stream_offsets
+from tidemark.llm.streams import buckets_for, stream_offsets, sums_before
+
+#: Tokens of a range of turns, which a task orders.
+RANGE = 500_000
 
 
 def tokenized(docs: DataFrame, tokenizer: str, style: str, end_id: int) -> DataFrame:
@@ -43,32 +48,38 @@ def tokenized(docs: DataFrame, tokenizer: str, style: str, end_id: int) -> DataF
     return docs.select("doc_id", "source", "text").mapInArrow(encode, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, style: str = "byte", end_id: int = 1, window: int = 2048, quantum: int = 128, seed: int = 23) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, style: str = "byte", end_id: int = 1, window: int = 2048, quantum: int = 128, seed: int = 23, weights: dict | None = None) -> DataFrame:
     """Pieces of all documents in gapless windows of ``window`` tokens.
 
     Returns doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset. Weights are the sources' token totals, so that every queue lasts to
+    offset. ``weights`` are target proportions by source (1 for a source it lacks);
+    without them they are the sources' token totals, so that every queue lasts to
     the end and every window has the corpus's proportions. All windows but the
     last are full. A NULL or empty text is its end id alone; a NULL source is a
-    queue of its own; repeated rows are packed as often as they occur.
+    queue of its own; repeated rows are packed as often as they occur; no rows give
+    no pieces.
     """
     toks = tokenized(docs, tokenizer, style, end_id).withColumn("rid", F.monotonically_increasing_id())
     toks = materialize(toks.withColumn("n", (F.octet_length("ids") / 2).cast("long")), "ids")
     rows = toks.select("rid", "doc_id", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("queue"), "n")
     totals = rows.groupBy("queue").agg(F.sum("n").alias("total"))
-    ranges = rows.agg(F.sum("n")).first()[0] or 0
-    ranges = min(65_536, max(1, ranges // 500_000))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    rows = stream_offsets(rows, "queue", "n", ["h", "rid"], "at").join(totals, "queue")
+    if weights is None:
+        weight = F.ceil(F.col("total") / quantum).cast("double")
+    else:
+        named = [x for s, w in weights.items() for x in (F.lit("" if s is None else f"={s}"), F.lit(float(w)))]
+        weight = F.coalesce(F.try_element_at(F.create_map(*named), F.col("queue")), F.lit(1.0)) if named else F.lit(1.0)
+    totals = totals.withColumn("weight", weight)
+    # Tokens that all queues together serve while the counter goes from one range to the next.
+    span = RANGE / quantum / (totals.agg(F.sum("weight")).first()[0] or 1.0)
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "rid"))
+    rows = stream_offsets(rows, "queue", "n", ["h", "rid"], "at", buckets_for(toks.count())).join(totals, "queue")
     turn = F.col("turn")
     rows = rows.withColumn("turn", F.explode(F.sequence(F.floor(F.col("at") / quantum), F.floor((F.col("at") + F.col("n") - 1) / quantum))))
     pos = F.greatest("at", turn * quantum)
     length = F.least(F.col("at") + F.col("n"), (turn + 1) * quantum) - pos
-    turns = F.ceil(F.col("total") / quantum)
-    pieces = rows.select("rid", "queue", pos.alias("pos"), (pos - F.col("at")).alias("start"), length.alias("length"), ((turn + 0.5) / turns).alias("round"))
-    pieces = pieces.withColumn("range", F.least(F.lit(ranges - 1), F.floor(F.col("round") * ranges)))
-    sums = pieces.groupBy("range").agg(F.sum("length").alias("tokens"))
-    sums = sums.select("range", F.coalesce(F.sum("tokens").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    pieces = rows.select("rid", "queue", pos.alias("pos"), (pos - F.col("at")).alias("start"), length.alias("length"), ((turn + 0.5) / F.col("weight")).alias("round"))
+    pieces = pieces.withColumn("range", F.floor(F.col("round") / span))
+    sums = sums_before(pieces.groupBy("range").agg(F.sum("length").alias("tokens")), "range", "tokens", "base").select("range", "base")
     inner = Window.partitionBy("range").orderBy("round", "queue", "pos").rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.withColumn("within", F.coalesce(F.sum("length").over(inner), F.lit(0))).join(sums, "range")
     placed = placed.withColumn("at", F.col("base") + F.col("within"))

@@ -1,12 +1,11 @@
 """Quality selection by importance resampling.
 
-Two bags of hashed n-grams are estimated from a bounded sample of labelled
-documents: the target's from those labelled good, the raw text's from all of
-them, so that n-grams (of a language, say) that the labels don't cover weigh
-nothing. The log of the likelihood ratio of a text is its log importance weight; adding Gumbel noise and keeping the ``k``
-greatest sums samples ``k`` documents without replacement in proportion to the
-weights. ``k`` is the number of documents whose weight passes the threshold that
-best parts good from bad labelled documents.
+Two bags of hashed n-grams are estimated: the target's from a bounded sample of
+documents labelled good, the raw text's from all documents. The log of the
+likelihood ratio of a text is its log importance weight; adding Gumbel noise and
+keeping the ``k`` greatest sums samples ``k`` documents without replacement in
+proportion to the weights. ``k`` is the number of documents whose weight passes
+the threshold that best parts good from bad labelled documents.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import labelled_sample
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import Scratch, materialize
 
 BUCKETS = 1 << 16
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -58,22 +57,27 @@ def _counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = 8.0) -> np.ndarray:
+    """Log of each bucket's target count by the count expected from the raw model, ``prior`` added to both."""
+    expected = raw * (target.sum() / max(raw.sum(), 1))
+    return np.log((target + prior) / (expected + prior))
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, prior: float = 8.0) -> tuple[np.ndarray, float]:
     """(log ratio of each bucket, threshold of the log weight); labels of at most ``bound`` documents are used.
 
-    A bucket's ratio is that of its target count to the count expected from the raw
-    model, both with ``prior`` added: rare n-grams that the labelled documents
-    happen to lack then weigh little. Without good labels all weights are 0;
-    without bad ones every document passes.
+    The target model is counted from the sample's good documents, the raw model
+    from all of ``docs``; ``prior`` keeps n-grams that the sample happens to lack
+    from weighing much. Without good labels all weights are 0; without bad ones
+    every document passes.
     """
-    sample = labelled_sample(docs, labels, "quality", bound, skip_held_out=False)
-    sample = materialize(sample, "labelled")
-    target, raw = _counts(sample.where("label = 1")), _counts(sample)
-    if not target.any():
-        return np.zeros(BUCKETS), -np.inf
-    expected = raw * (target.sum() / max(raw.sum(), 1))
-    ratio = np.log((target + prior) / (expected + prior))
-    weights = _weighed(sample.selectExpr("CAST(label AS long) AS doc_id", "text"), ratio, 0).select("doc_id", "log_weight").collect()  # at most ``bound`` rows
+    with Scratch(docs.sparkSession, "quality") as space:
+        sample = space.keep(labelled_sample(docs, labels, "quality", bound, skip_held_out=False), "labelled")
+        target = _counts(sample.where("label = 1"))
+        if not target.any():
+            return np.zeros(BUCKETS), -np.inf
+        ratio = log_ratio(target, _counts(docs), prior)
+        weights = _weighed(sample.selectExpr("CAST(label AS long) AS doc_id", "text"), ratio, 0).select("doc_id", "log_weight").collect()  # at most ``bound`` rows
     return ratio, best_threshold(np.array([r["log_weight"] for r in weights]), np.array([r["doc_id"] for r in weights]))
 
 
@@ -95,6 +99,17 @@ def best_threshold(w: np.ndarray, good: np.ndarray) -> float:
     return float(w[at]) if at == len(w) else float((w[at - 1] + w[at]) / 2)
 
 
+def _keys(ids: list, texts: list, ratio: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log weight, Gumbel key, the key as a long of the same order) of documents."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    w = np.array([ratio[ngrams(t)].sum() for t in texts], float)
+    u = np.array([(digest(str(i), seed) >> 11) + 0.5 for i in ids], float) / 2.0**53
+    key = w - np.log(-np.log(u))
+    bits = (key + 0.0).view(np.int64)
+    return w, key, np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+
+
 def _weighed(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, ordinal): ordinal is the key as a long of the same order."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
@@ -102,16 +117,10 @@ def _weighed(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
 
     def weigh(batches):
         import pyarrow as pa
-        from xxhash import xxh3_64_intdigest as digest
 
-        table = held.value
         for b in batches:
-            w = np.array([table[ngrams(t)].sum() for t in b.column("text").to_pylist()], float)
-            u = np.array([(digest(str(i), seed) >> 11) + 0.5 for i in b.column("doc_id").to_pylist()], float) / 2.0**53
-            key = w - np.log(-np.log(u))
-            bits = (key + 0.0).view(np.int64)
-            ordinal = np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w), pa.array(key), pa.array(ordinal)], ["doc_id", "log_weight", "gumbel_key", "ordinal"])
+            found = _keys(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), held.value, seed)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, found)], ["doc_id", "log_weight", "gumbel_key", "ordinal"])
 
     return docs.select("doc_id", "text").mapInArrow(weigh, f"doc_id {id_type}, log_weight double, gumbel_key double, ordinal long")
 
@@ -134,17 +143,43 @@ def kth_greatest(rows: DataFrame, col: str, k: int) -> int | None:
     return prefix
 
 
+def _drawn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int) -> tuple[np.ndarray, DataFrame, int | None]:
+    """(log ratios, weighed rows, the least key that is drawn)."""
+    ratio, threshold = fit(docs, labels)
+    rows = materialize(_weighed(docs, ratio, seed), "weights")
+    if k is None:
+        k = rows.where(F.col("log_weight") >= F.lit(float(threshold))).count()
+    return ratio, rows, kth_greatest(rows, "ordinal", min(k, rows.count()))
+
+
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 11) -> DataFrame:
     """The sampled documents: (doc_id, log_weight, gumbel_key) of ``k`` rows of ``docs`` (doc_id, text).
 
     ``k`` None: as many as pass the fitted threshold. Rows that tie with the last
-    one are all kept. NULL and empty texts weigh 0; repeated rows are drawn
-    together, as they share id and text.
+    one are all kept. NULL and empty texts weigh 0, a NULL id draws its noise like
+    any other; repeated rows are drawn together, as they share id and text; an
+    empty table gives no rows.
     """
-    ratio, threshold = fit(docs, labels)
-    rows = materialize(_weighed(docs, ratio, seed), "weights")
-    if k is None:
-        k = rows.where(F.col("log_weight") >= F.lit(float(threshold))).count()
-    last = kth_greatest(rows, "ordinal", min(k, rows.count()))
+    _, rows, last = _drawn(docs, labels, k, seed)
     rows = rows.where(F.lit(False)) if last is None else rows.where(F.col("ordinal") >= last)
     return rows.select("doc_id", "log_weight", "gumbel_key")
+
+
+def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 11) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` draws, with all their columns and whatever their ids.
+
+    Each row's key is worked out again where the row is, so nothing is joined back.
+    """
+    ratio, _, last = _drawn(docs, labels, k, seed)
+    if last is None:
+        return docs.where(F.lit(False))
+    held = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    def chosen(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ordinal = _keys(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), held.value, seed)[2]
+            yield b.filter(pa.array(ordinal >= last))
+
+    return docs.mapInArrow(chosen, docs.schema)

@@ -10,9 +10,14 @@ from tidemark.llm.storage import read_table, scratch_path
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of secrets in every text of documents, through a fresh blob ledger."""
+    """Spans of secrets in every text of documents, through a blob ledger that has met about half of them before.
+
+    An earlier batch holds the documents with even hashes; the batch of all then
+    scans only the blobs that the ledger lacks, and joins findings to all paths.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = secret_scan.BlobLedger(spark, scratch_path(spark, "ledger"))
+    ledger.update(docs.where(F.xxhash64("doc_id") % 2 == 0), "doc_id", "text")
     found = secret_scan.scan_paths(docs, "doc_id", "text", ledger)
     spans = F.array_join(F.transform("found", lambda s: s["label"]), ",")
     return found.select(
@@ -63,6 +68,23 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+# A source's taken words are those of its repeating stream up to its target.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, (CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS weight, source_size::DOUBLE * 3 AS cap, sum(source_size::DOUBLE) OVER () AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM l),
+p AS (SELECT doc_id, size, source_size, target, round(target) AS stop,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(0, least(at + size, stop) - at) + greatest(0, least(source_size + at + size, stop) - source_size - at) + greatest(0, least(2 * source_size + at + size, stop) - 2 * source_size - at))::BIGINT AS taken
+FROM p
+"""
+
+
 def op3_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as media, sniffed, read back and digested."""
     stored = media.store_texts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -86,6 +108,20 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+# All pairs that share a shingle, counted; labels spread along the links.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM d),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM g),
+s AS (SELECT doc_id, unnest(g) AS x FROM g),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r(x, top) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.v, r.top FROM r JOIN e ON e.u = r.x)
+SELECT doc_id, n AS n_shingles, min(top) AS component_id FROM n JOIN r ON r.x = doc_id GROUP BY 1, 2
+"""
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written to seekable zstandard files and read back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -148,4 +184,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": OP1_SQL, "op4_extendible_sharding": OP4_SQL, "op9_merkle_fingerprint": OP9_SQL}
+    return {"op1_secret_scan": OP1_SQL, "op2_source_mix": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op4_extendible_sharding": OP4_SQL, "op9_merkle_fingerprint": OP9_SQL}

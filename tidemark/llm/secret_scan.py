@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import materialize, write
 
 
 @dataclass(frozen=True)
@@ -139,20 +139,21 @@ class BlobLedger:
         copies = versions.select(F.col(path_col).alias("path"), blob.alias("b"), text.alias("text"))
         todo = copies.join(pending.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("owner")) & (F.col("b") == F.col("blob_id"))).select("blob_id", "text", "pending")
         rule = F.coalesce(*[F.when(F.col("kind") == r.kind, F.lit(r.id)) for r in self.rules])
-        find_spans(todo, self.rules).select("blob_id", rule.alias("rule"), "start", "end").distinct().write.parquet(f"{self.path}/findings/{batch}")
-        pending.select("blob_id", "pending").write.parquet(f"{self.path}/scans/{batch}")
+        write(find_spans(todo, self.rules).select("blob_id", rule.alias("rule"), "start", "end").distinct(), f"{self.path}/findings/{batch}")
+        write(pending.select("blob_id", "pending"), f"{self.path}/scans/{batch}")
         self.batches.append(batch)
         return keyed
 
-    def digest(self) -> DataFrame:
-        """Per blob with findings: counts, and its spans sorted by start, then rule order."""
+    def digest(self, blobs: DataFrame | None = None) -> DataFrame:
+        """Per blob with findings: counts, and its spans sorted by start, then rule order; of ``blobs`` (blob_id) only, if given."""
+        found = self.findings()
+        if blobs is not None:
+            found = found.join(blobs.select("blob_id").distinct(), "blob_id", "left_semi")
         order = F.coalesce(*[F.when(F.col("rule") == r.id, F.lit(i)) for i, r in enumerate(self.rules)])
         kind = F.split("rule", "@")[0]
         span = F.struct("start", order.alias("o"), "end", F.concat_ws(":", kind, "start", "end").alias("label"))
         spans = F.array_sort(F.collect_list(span))
-        return self.findings().groupBy("blob_id").agg(
-            *[F.count_if(F.col("rule") == r.id).alias(f"n_{r.kind}") for r in self.rules], spans.alias("found")
-        )
+        return found.groupBy("blob_id").agg(*[F.count_if(F.col("rule") == r.id).alias(f"n_{r.kind}") for r in self.rules], spans.alias("found"))
 
 
 def scan_paths(versions: DataFrame, path_col: str, text_col: str, ledger: BlobLedger) -> DataFrame:
@@ -160,7 +161,7 @@ def scan_paths(versions: DataFrame, path_col: str, text_col: str, ledger: BlobLe
     keyed = ledger.update(versions, path_col, text_col)
     # Written first, so that the join's both sides are exchanges of their own and a
     # group of copies that holds many paths can be split.
-    digest = materialize(ledger.digest(), "digest")
+    digest = materialize(ledger.digest(keyed if len(ledger.batches) > 1 else None), "digest")
     joined = keyed.join(digest, "blob_id", "left")
     empty = F.array().cast("array<struct<start:bigint,o:int,end:bigint,label:string>>")
     return joined.select("path", "blob_id", *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in ledger.rules], F.coalesce("found", empty).alias("found"))

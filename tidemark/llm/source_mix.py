@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialize
-from tidemark.llm.streams import stream_offsets
+from tidemark.llm.streams import buckets_for, stream_offsets
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: floor(2**32 / golden ratio), fixed value.
@@ -26,6 +26,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffled(key: Column, seed: int) -> Column:
+    """A long whose bits, taken without sign, order keys like the first 15 digits of the MD5 of "seed:key" (NULL: "seed:")."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15)
+    return F.shiftleft(F.conv(digits, 16, 10).cast("long"), 4)
+
+
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeat: int = 3) -> DataFrame:
     """(source, rank, source_size, target) of sized documents; one row a source.
 
@@ -104,7 +110,7 @@ def schedule(spark, targets: DataFrame, total: int, block: int, cells: int = 409
     return _ranked(placed)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", weights=(5, 2, 1), max_repeat: int = 3, seed: int = 17, resolution: int = 100_000, max_block: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", weights=(5, 2, 1), max_repeat: int = 3, seed: int = 17, resolution: int = 100_000, max_block: int = 4096, keep: tuple = ()) -> DataFrame:
     """Words the mixture takes of each document.
 
     ``docs`` has ``id_col``, ``source`` and ``size`` (long words); the result adds
@@ -113,17 +119,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights=(5, 2, 1), max_repeat:
     last block ends at its target, so each source gives its target. NULL source
     is a source of its own, a NULL id an id like any other; repeated rows are
     separate documents; documents without words are taken 0 times; no rows, no
-    result.
+    result. Columns named in ``keep`` come along and order rows that are equal otherwise.
     """
     spark = docs.sparkSession
-    docs = materialize(docs.select(F.col(id_col).alias("doc_id"), "source", F.col("size").cast("long").alias("size")), "sizes")
+    kept = [f"__keep{i}" for i in range(len(keep))]
+    docs = docs.select(F.col(id_col).alias("doc_id"), "source", F.col("size").cast("long").alias("size"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
+    docs = materialize(docs, "sizes")
     total = docs.agg(F.sum("size")).first()[0] or 0
     block = min(max_block, max(8, total // resolution))
     targets = source_targets(docs, weights, max_repeat)
     named = targets.withColumnsRenamed({"source": "s", "rank": "source_rank"})
     rows = docs.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    rows = stream_offsets(rows, "source_rank", "size", ["h", "doc_id", "size"], "at")
+    rows = rows.withColumn("h", shuffled(F.col("doc_id"), seed))
+    rows = stream_offsets(rows, "source_rank", "size", ["h", "doc_id", "size", *kept], "at", buckets_for(docs.count()))
     # Where each repeat of a document lies in its source's stream, cut by block.
     epochs = F.ceil((F.col("target") + 4 * block) / F.greatest(F.col("source_size"), F.lit(1)))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_repeat), F.greatest(epochs, F.lit(1))).cast("int") - 1)))
@@ -134,9 +142,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights=(5, 2, 1), max_repeat:
     pieces = pieces.withColumn("words", F.greatest(words, F.lit(0)))
     slots = schedule(spark, targets, total, block)
     joined = pieces.join(slots, ["source_rank", "block"], "left")
-    keys = ["source_rank", "at", "h", "doc_id", "source", "size", "source_size", "target"]
+    keys = ["source_rank", "at", "h", "doc_id", "source", "size", "source_size", "target", *kept]
     taken = joined.groupBy(*keys, "epoch").agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).alias("taken"), F.count_if(F.col("block").isNull()).alias("copies"))
     # Rows of no words share their place: as many rows come back as went in.
     taken = taken.groupBy(*keys).agg(F.sum("taken").alias("taken"), F.max("copies").alias("copies"))
     taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))))
-    return taken.select("doc_id", "source", "size", "source_rank", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return taken.select("doc_id", "source", "size", "source_rank", "source_size", "target", F.col("taken").cast("long").alias("taken"), *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)])

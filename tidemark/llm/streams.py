@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def buckets_for(rows: int, each: int = 100_000) -> int:
+    """A power of two, 256 at least: enough buckets for a third of ``rows`` to come as ``each`` a bucket or fewer."""
+    return max(256, 1 << max(0, math.ceil(math.log2(max(1, rows / 3 / each)))))
+
+
 def stream_offsets(df: DataFrame, key: str, size: str, order: list, out: str, buckets: int = 256) -> DataFrame:
     """Adds ``out``: the sum of ``size`` over the rows of the same ``key`` before this row.
 
@@ -32,6 +37,20 @@ def stream_offsets(df: DataFrame, key: str, size: str, order: list, out: str, bu
     )
 
 
+def sums_before(sums: DataFrame, at: str, value: str, out: str, span: int = 4096) -> DataFrame:
+    """``sums`` (one row a number ``at``) with ``out``: the sum of ``value`` over all lesser numbers.
+
+    Two levels: spans of numbers are summed first, so no task orders all of them.
+    """
+    rows = sums.withColumn("__span", F.floor(F.col(at) / span))
+    spans = rows.groupBy("__span").agg(F.sum(value).alias("__sum"))
+    below = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("__span", F.coalesce(F.sum("__sum").over(below), F.lit(0)).alias("__base"))
+    inner = Window.partitionBy("__span").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__within", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(spans, "__span")
+    return rows.withColumn(out, F.col("__base") + F.col("__within")).drop("__span", "__base", "__within")
+
+
 def ordered_cells(df: DataFrame, col: str, rows_per_cell: int, quantiles: int = 256) -> Column:
     """A long expression that grows with the integer column ``col``, about ``rows_per_cell`` rows a value.
 
