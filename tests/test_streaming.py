@@ -64,3 +64,26 @@ def test_kalman_scores_stream_as_in_batch(spark, readings, tmp_path):
     got = streamed(spark, readings, lambda s: stateful.stream_filter(s, "kalman_score"), tmp_path, "scores")
     both = got.merge(detect.detect(rows, "kalman").toPandas(), on=["series", "row_id"])
     assert len(both) == 120 and np.abs(np.minimum(both.out / 60, 1) - both.kalman_degree).max() < 1e-9
+
+
+def test_late_readings_are_told_and_states_end(spark, readings, tmp_path):
+    """A reading before the last one is marked; once the watermark is past the gap a series begins afresh."""
+    rows, _ = readings
+    t0 = 28_400_000 * 60_000_000
+    parts = [[("a", 1, 0), ("b", 2, 10)], [("a", 3, 30), ("a", 4, 20)], [("a", 5, 25), ("b", 6, 900)], [("b", 7, 2000)], [("a", 8, 2001)]]
+    src = tmp_path / "late"
+    src.mkdir()
+    query = stateful.stream_filter(spark.readStream.schema("series string, row_id long, us long, value double").option("maxFilesPerTrigger", 1).parquet(str(src)), "kalman_score", delay="10 minutes")
+    query = query.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).start()
+    try:
+        for k, part in enumerate(parts):
+            data = [(s, i, t0 + m * 60_000_000, 40.0 + i) for s, i, m in part]
+            spark.createDataFrame(data, "series string, row_id long, us long, value double").coalesce(1).write.parquet(f"{tmp_path}/l{k}")
+            for f in sorted((tmp_path / f"l{k}").glob("*.parquet")):
+                f.rename(src / f"{k}-{f.name}")
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {r.row_id: r for r in spark.table("late").collect()}
+    assert sorted(got) == list(range(1, 9)) and [i for i in got if got[i].late] == [5]
+    assert got[5].out is None and got[6].out == got[7].out == got[8].out == 0.0 and got[3].out > 0

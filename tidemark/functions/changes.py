@@ -120,19 +120,27 @@ def kcp(t, v, least: int = 3, width: int = 10):
     return types, degrees
 
 
+#: Level, slope and their covariance before a first reading.
+KALMAN_START = (0.0, 10.0, 0.0, 10.0)
+
+
+def kalman_step(state, dt: float, y: float, noise: float = 10.0, drift: float = 0.1) -> tuple[tuple, float]:
+    """(state, normalised innovation) of a level-and-slope filter after a reading ``dt`` minutes on; state None: at a first one."""
+    if state is None:
+        level, (slope, a, b, c) = y, KALMAN_START
+    else:
+        level, slope, a, b, c = state
+        level += slope * dt
+        a, b, c = a + 2 * dt * b + dt * dt * c + drift * dt**4 / 4, b + dt * c + drift * dt**3 / 2, c + drift * dt**2
+    miss, s = y - level, a + noise
+    return (level + a / s * miss, slope + b / s * miss, a - a * a / s, b - a * b / s, c - b * b / s), miss * miss / s
+
+
 def kalman(t, v, noise: float = 10.0, drift: float = 0.1, limit: float = 60.0, medium: float = 8.0):
     """Normalised innovations of a level-and-slope filter; times in minutes."""
-    level, slope, a, b, c = float(v[0]), 0.0, 10.0, 0.0, 10.0
-    scores = np.empty(len(v))
-    for i, y in enumerate(v):
-        if i:
-            dt = float(t[i] - t[i - 1])
-            level += slope * dt
-            a, b, c = a + 2 * dt * b + dt * dt * c + drift * dt**4 / 4, b + dt * c + drift * dt**3 / 2, c + drift * dt**2
-        miss, s = y - level, a + noise
-        scores[i] = miss * miss / s
-        level, slope = level + a / s * miss, slope + b / s * miss
-        a, b, c = a - a * a / s, b - a * b / s, c - b * b / s
+    state, scores = None, np.empty(len(v))
+    for i, (dt, y) in enumerate(zip(np.diff(t, prepend=t[:1]).tolist(), np.asarray(v, float).tolist(), strict=True)):
+        state, scores[i] = kalman_step(state, dt, y, noise, drift)
     types = np.where(scores > limit, "adverse", np.where(scores > medium, "medium", "normal")).astype(object)
     return types, np.minimum(scores / limit, 1.0)
 

@@ -2,55 +2,45 @@
 
 State is one series' filter state and last time; a gap of 180 minutes or more
 starts it afresh, as between chunks in batch. Readings of one trigger are sorted
-by time; readings older than the state's last time are dropped.
+by time. A reading older than the state's last time comes out with ``late`` true
+and no value, so it can be counted. A state ends when the watermark has passed
+its last time by the gap: nothing it knows would be used again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GAP = 180.0
+from tidemark.functions.changes import kalman_step
+from tidemark.functions.filters import linear_start, linear_step
 
+GAP = 180.0
 
-def _linear_step(state, t, value, p):
-    import math
 
+def _linear(state, dt, value, p):
     z = math.log(value) - p["log_mean"]
-    if state is None:
-        x, var = z, p["r"] + p["q"]
-    else:
-        last, x, var = state
-        scale = max((t - last) / p["ref_dt"], 1e-6)
-        ahead = p["f"] ** 2 * var + p["q"] * scale
-        gain = ahead / (ahead + p["r"])
-        x = p["f"] * x + gain * (z - p["f"] * x)
-        var = ahead * (1 - gain)
-    out = math.exp(min(max(x + p["log_mean"], p["log_lo"]), p["log_hi"]))
-    return (t, x, var), out
-
-
-def _kalman_step(state, t, value, p):
-    if state is None:
-        level, slope, a, b, c = value, 0.0, 10.0, 0.0, 10.0
-    else:
-        last, level, slope, a, b, c = state
-        dt = t - last
-        level += slope * dt
-        a, b, c = a + 2 * dt * b + dt * dt * c + 0.1 * dt**4 / 4, b + dt * c + 0.1 * dt**3 / 2, c + 0.1 * dt**2
-    miss, s = value - level, a + 10.0
-    after = (t, level + a / s * miss, slope + b / s * miss, a - a * a / s, b - a * b / s, c - b * b / s)
-    return after, miss * miss / s
-
-
-#: name: (step, numbers in the state, calibration columns)
-STEPS = {"gpssm": (_linear_step, 3, ["f", "q", "r", "ref_dt", "log_mean", "log_lo", "log_hi"]), "kalman_score": (_kalman_step, 6, [])}
-
-
-def stream_filter(rows: DataFrame, method: str, calibration: DataFrame | None = None) -> DataFrame:
-    """(series, row_id, us, value, out) of a stream of normalised positive readings; ``calibration`` is a static table."""
+    state = linear_start(z, p["q"], p["r"]) if state is None else linear_step(*state, z, max(dt / p["ref_dt"], 1e-6), p["f"], p["q"], p["r"])
+    return state, math.exp(min(max(state[0] + p["log_mean"], p["log_lo"]), p["log_hi"]))
+
+
+def _kalman(state, dt, value, p):
+    return kalman_step(state, dt, value)
+
+
+#: name: (step, numbers in the state besides the time, calibration columns)
+STEPS = {"gpssm": (_linear, 2, ["f", "q", "r", "ref_dt", "log_mean", "log_lo", "log_hi"]), "kalman_score": (_kalman, 5, [])}
+
+
+def stream_filter(rows: DataFrame, method: str, calibration: DataFrame | None = None, delay: str = "2 days") -> DataFrame:
+    """(series, row_id, us, value, out, late) of a stream of normalised positive readings; ``calibration`` is a static table.
+
+    Readings more than ``delay`` behind the newest of all series don't reach their
+    state; Spark counts them in the query's progress (numRowsDroppedByWatermark).
+    """
     step, size, params = STEPS[method]
     if params:
         rows = rows.join(calibration.select("series", *params), "series")
@@ -59,24 +49,34 @@ def stream_filter(rows: DataFrame, method: str, calibration: DataFrame | None =
     def run(series, batches: Iterator, state):
         import pandas as pd
 
-        now = tuple(state.get) if state.exists else None
+        columns = ["series", "row_id", "us", "value", "out", "late"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        last, *rest = state.get if state.exists else (None,)
+        now = tuple(rest) if last is not None else None
         pdf = pd.concat(list(batches)).sort_values(["us", "row_id"])
         kept = []
         for r in pdf.to_dict("records"):
-            t = r["us"] / 60e6
-            if now is not None and t < now[0]:
+            t, known = r["us"] / 60e6, (r["series"], r["row_id"], r["us"], r["value"])
+            if last is not None and t < last:
+                kept.append((*known, None, True))
                 continue
-            if now is not None and t - now[0] >= GAP:
+            if last is not None and t - last >= GAP:
                 now = None
-            now, out = step(now, t, r["value"], r)
-            kept.append((r["series"], r["row_id"], r["us"], r["value"], out))
+            now, out = step(now, 0.0 if now is None else t - last, r["value"], r)
+            last = t
+            kept.append((*known, out, False))
         if now is not None:
-            state.update(tuple(float(x) for x in now))
-        yield pd.DataFrame(kept, columns=["series", "row_id", "us", "value", "out"])
-
-    rows = rows.where(F.col("value") > 0).select("series", "row_id", "us", "value", *params)
-    fields = ", ".join(f"s{i} double" for i in range(size))
-    return rows.groupBy("series").applyInPandasWithState(run, f"series {key}, row_id {row}, us long, value double, out double", fields, "append", "NoTimeout")
+            state.update((float(last), *(float(x) for x in now)))
+            state.setTimeoutTimestamp(max(int((last + GAP) * 60_000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(kept, columns=columns).astype({"out": float, "late": bool})
+
+    timed = rows.where(F.col("value") > 0).withColumn("at", F.timestamp_micros("us")).withWatermark("at", delay)
+    fields = ", ".join(f"s{i} double" for i in range(size + 1))
+    schema = f"series {key}, row_id {row}, us long, value double, out double, late boolean"
+    return timed.select("series", "row_id", "us", "at", "value", *params).groupBy("series").applyInPandasWithState(run, schema, fields, "append", "EventTimeTimeout")
 
 
 def stream_chunks(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
