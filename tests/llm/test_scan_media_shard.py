@@ -79,6 +79,17 @@ def test_ledger_scans_only_what_it_has_not_seen(spark, shared):
     assert {tuple(r.pending) for r in fresh.collect()} == {("hex@1",)} and fresh.count() == 4
 
 
+def test_op1_scans_each_blob_in_one_of_its_batches(spark, sf_dir, monkeypatch):
+    path = scratch_path(spark, "ledger")
+    monkeypatch.setattr(queries, "scratch_path", lambda *_: path)
+    queries.op1_secret_scan(spark, sf_dir)
+    ledger = secret_scan.BlobLedger.open(spark, path)
+    batches = [[bytes(r.blob_id) for r in spark.read.parquet(f"{path}/scans/{b}").collect()] for b in ledger.batches]
+    blobs = {hashlib.sha256((t or "").encode()).digest() for t in texts().values()}
+    assert len(batches) == 2 and min(map(len, batches)) > 20 and sorted(sum(batches, [])) == sorted(blobs)
+    assert ledger.findings().count() == sum(len(spans(t)) for t in {t or "" for t in texts().values()})
+
+
 def test_redact(spark, shared):
     df = spark.createDataFrame([(1, "a token=abcdefghijklmnop b"), (2, None), (3, "x"), (4, "secret: deadbeefdeadbeef!")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in secret_scan.redact(df, "doc_id", "text", secret_scan.BlobLedger(spark, scratch_path(spark, "ledger"))).collect()}
@@ -123,6 +134,21 @@ def test_sniff_carves_and_rejects(spark, shared):
     assert got[3].type is None and got[3].corrected and got[4] is None and got[5].carved == [] and got[6].type is None
 
 
+def test_sniff_finds_media_inside_media(spark, shared):
+    thumb = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04ab12\xff\x0034\xff\xd9"
+    png = media.write_png(b"a" * 192)
+    photo = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(thumb) + 4) + b"Ex" + thumb + b"\xff\xda\x00\x04ab99\xff\xd9"
+    sound = media.write_wav(b"x" + photo + png + b"RIFF" + png[:30])
+    blob = sound + png
+    at = sound.index(photo)
+    want = [("audio/wav", 0, len(sound), 0), ("image/jpeg", at, at + len(photo), 1), ("image/jpeg", sound.index(thumb), sound.index(thumb) + len(thumb), 2), ("image/png", sound.index(png), sound.index(png) + len(png), 1), ("image/png", len(sound), len(blob), 0)]
+    assert media.sniff_nested(blob) == want
+    assert media.sniff(blob) == [w[:3] for w in want if w[3] == 0]
+    df = spark.createDataFrame([(blob, "image/png")], "blob binary, declared string")
+    r = media.sniff_column(df, "blob", "declared", nested=True).first().media
+    assert r.type == "audio/wav" and r.corrected and [tuple(x) for x in r.carved] == want
+
+
 def check_shards(got, sizes, limit):
     total = Counter()
     for r in got:

@@ -152,6 +152,23 @@ def sniff(blob: bytes) -> list[tuple[str, int, int]]:
     return found
 
 
+def sniff_nested(blob: bytes) -> list[tuple[str, int, int, int]]:
+    """(type, start, end, depth) of all valid media in ``blob``, by start, those inside others too: a thumbnail in an image, a cover in a sound.
+
+    ``depth`` counts the files a file lies in; one that reaches out of the file it begins in is none.
+    """
+    found, around = [], []
+    hits = sorted((end + 1 - n, kind) for end, (kind, n) in _automaton().iter(blob.decode("latin-1")))
+    for start, kind in hits:
+        while around and start >= around[-1]:
+            around.pop()
+        end = VALIDATORS[kind](blob, start)
+        if end is not None and (not around or end <= around[-1]):
+            found.append((kind, start, end, len(around)))
+            around.append(end)
+    return found
+
+
 def write_png(payload: bytes) -> bytes:
     """8-bit grey image of rows of 192 samples."""
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
@@ -184,14 +201,14 @@ def read_samples(blob: bytes, kind: str, start: int = 0) -> bytes:
     return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(rows, width + 1)[:, 1:].tobytes()
 
 
-def sniff_column(df: DataFrame, blob: str, declared: str, out: str = "media") -> DataFrame:
-    """Adds ``out``: struct<type, corrected, carved array<struct<type, start, end>>>.
+def sniff_column(df: DataFrame, blob: str, declared: str, out: str = "media", nested: bool = False) -> DataFrame:
+    """Adds ``out``: struct<type, corrected, carved array<struct<type, start, end, depth>>>; files inside others with ``nested`` only.
 
     ``type`` is that of the valid file at offset 0; without one it is NULL, and a
     declared type that is contradicted counts as corrected. A NULL blob has a NULL
     result.
     """
-    kind = "struct<type: string, corrected: boolean, carved: array<struct<type: string, start: long, end: long>>>"
+    kind = "struct<type: string, corrected: boolean, carved: array<struct<type: string, start: long, end: long, depth: int>>>"
 
     @F.pandas_udf(kind)
     def run(blobs, names):
@@ -199,9 +216,9 @@ def sniff_column(df: DataFrame, blob: str, declared: str, out: str = "media") ->
 
         rows = []
         for b, name in zip(blobs, names, strict=True):
-            found = [] if b is None else sniff(bytes(b))
+            found = [] if b is None else sniff_nested(bytes(b)) if nested else [(*f, 0) for f in sniff(bytes(b))]
             own = found[0][0] if found and found[0][1] == 0 else None
-            rows.append((own, bool(b is not None and own != name), [{"type": k, "start": s, "end": e} for k, s, e in found]))
+            rows.append((own, bool(b is not None and own != name), [{"type": k, "start": s, "end": e, "depth": d} for k, s, e, d in found]))
         return pd.DataFrame(rows, columns=["type", "corrected", "carved"])
 
     return df.withColumn(out, F.when(F.col(blob).isNotNull(), run(blob, declared)))

@@ -45,8 +45,8 @@ def _counts(texts: DataFrame) -> np.ndarray:
 
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for t in b.column("text").to_pylist():
-                total += np.bincount(ngrams(t), minlength=BUCKETS)
+            if b.num_rows:
+                total += np.bincount(np.concatenate([ngrams(t) for t in b.column("text").to_pylist()]), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 

@@ -77,10 +77,10 @@ l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROW
   / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM l),
 p AS (SELECT doc_id, size, source_size, target, round(target) AS stop,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(at + size, stop) - at) + greatest(0, least(source_size + at + size, stop) - source_size - at) + greatest(0, least(2 * source_size + at + size, stop) - 2 * source_size - at))::BIGINT AS taken
+  (greatest(0, least(pos + size, stop) - pos) + greatest(0, least(source_size + pos + size, stop) - source_size - pos) + greatest(0, least(2 * source_size + pos + size, stop) - 2 * source_size - pos))::BIGINT AS taken
 FROM p
 """
 
@@ -114,9 +114,11 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g FROM d),
 n AS (SELECT doc_id, len(g)::BIGINT AS n FROM g),
-s AS (SELECT doc_id, unnest(g) AS x FROM g),
-c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT u, v FROM c JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= 75 * (a.n + b.n - c)),
+s AS MATERIALIZED (SELECT doc_id, len(g) AS n, md5_number_lower(unnest(g)) AS x FROM g),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM s a JOIN s b
+  ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n GROUP BY 1, 2),
+h AS MATERIALIZED (SELECT u, v FROM c WHERE 100 * c >= 75 * (na + nb - c)),
+e AS (SELECT u, v FROM h UNION ALL SELECT v, u FROM h),
 r(x, top) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.v, r.top FROM r JOIN e ON e.u = r.x)
 SELECT doc_id, n AS n_shingles, min(top) AS component_id FROM n JOIN r ON r.x = doc_id GROUP BY 1, 2
 """

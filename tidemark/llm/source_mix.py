@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_repeat: int = 3) ->
     Sources in code-point order, NULL last, take ``weights`` in turn. With
     ``t = min(cap, w * level)`` water fills the caps (``max_repeat`` times the
     source's size): the level is the greatest of the levels at which the sources
-    before, by cap for weight, are full.
+    before, by cap for weight, are full. One row a source passes through one task.
     """
     src = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())

@@ -51,15 +51,17 @@ def sums_before(sums: DataFrame, at: str, value: str, out: str, span: int = 4096
     return rows.withColumn(out, F.col("__base") + F.col("__within")).drop("__span", "__base", "__within")
 
 
-def ordered_cells(df: DataFrame, col: str, rows_per_cell: int, quantiles: int = 256) -> Column:
+def ordered_cells(df: DataFrame, col: str, rows_per_cell: int, quantiles: int | None = None) -> Column:
     """A long expression that grows with the integer column ``col``, about ``rows_per_cell`` rows a value.
 
-    At most ``quantiles`` approximate quantiles (one narrow pass) bound the
-    intervals, each cut into equal widths; an outlier or a cluster of ids thus
-    spoils one interval only. NULL falls in cell -1, below all others.
+    Approximate quantiles (one narrow pass) bound the intervals, each cut into equal
+    widths; an outlier or a cluster of ids thus spoils one interval only. There is
+    one for 50,000 rows, 256 to 4,096 of them. NULL falls in cell -1, below all others.
     """
+    if quantiles is None:
+        quantiles = min(4096, max(256, df.count() // 50_000))
     shares = [i / quantiles for i in range(quantiles + 1)]
-    n, marks = df.agg(F.count(col), F.percentile_approx(col, shares, 10_000)).first()
+    n, marks = df.agg(F.count(col), F.percentile_approx(col, shares, max(10_000, 8 * quantiles))).first()
     bounds = sorted(set(marks or [0]))
     bounds = bounds[:: max(1, len(bounds) * rows_per_cell // max(n, 1))]  # fewer cells than quantiles will do
     sub = max(1, math.ceil(math.ceil((n or 0) / rows_per_cell) / max(1, len(bounds) - 1)))

@@ -124,6 +124,12 @@ def toxicity_scores(docs: DataFrame, model: tuple) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``."""
+    """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text).
+
+    NULL and empty texts score the bias; a NULL id is judged by its text and held
+    out or not like the empty string; repeated rows score alike, a row each; ties at
+    0.5 are predicted 1; an empty table gives no rows, and without labels all score
+    0.5.
+    """
     scored = toxicity_scores(docs, train(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
