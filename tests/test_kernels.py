@@ -103,6 +103,25 @@ def test_gamma_model_offline_forecast_and_missing():
     assert (q[0] < q[1]).all() and (q[1] < q[2]).all() and (mean > q[0]).all()
 
 
+def long_signal(n=9000):
+    rng = np.random.default_rng(5)
+    return np.cumsum(rng.exponential(4.0, n)), np.maximum(rng.exponential(50.0, n), 0.5)
+
+
+def test_gamma_model_stays_a_law_over_a_long_chunk():
+    m = filters.GammaModel(1.0, -math.log(35.0), 0.5, 560.0)
+    mean, _ = m.run(*long_signal())
+    assert np.isfinite(mean).all() and np.array_equal(m.c, m.c.T) and np.linalg.eigvalsh(m.c)[0] > 0
+
+
+def test_gamma_model_far_from_the_readings():
+    # Means beyond the range of doubles are kept within the series' bounds.
+    for level in (-2000.0, 2000.0):
+        m = filters.GammaModel(1e4, level, 10.0, 90.0)
+        mean, _ = m.run(*signal())
+        assert ((mean >= 10) & (mean <= 90)).all() and np.isfinite(m.loglik)
+
+
 def test_detectors_find_a_jump():
     rng = np.random.default_rng(0)
     v = np.r_[rng.normal(40, 1, 60), rng.normal(60, 1, 60)]
