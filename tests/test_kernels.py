@@ -122,6 +122,17 @@ def test_gamma_model_far_from_the_readings():
         assert ((mean >= 10) & (mean <= 90)).all() and np.isfinite(m.loglik)
 
 
+def test_gamma_model_looks_back_over_a_long_chunk(monkeypatch):
+    t, v = long_signal()
+    found = []
+    for mark in (1024, 50_000):
+        monkeypatch.setattr(filters, "MARK", mark)
+        m = filters.GammaModel(1.0, -math.log(35.0), 0.5, 560.0)
+        m.run(t, v)
+        found.append(m.look_back())
+    assert np.isfinite(found[0]).all() and np.array_equal(*found)
+
+
 def test_detectors_find_a_jump():
     rng = np.random.default_rng(0)
     v = np.r_[rng.normal(40, 1, 60), rng.normal(60, 1, 60)]
