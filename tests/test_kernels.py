@@ -133,6 +133,13 @@ def test_gamma_model_looks_back_over_a_long_chunk(monkeypatch):
     assert np.isfinite(found[0]).all() and np.array_equal(*found)
 
 
+def test_gamma_model_forecasts_after_a_long_chunk():
+    m = filters.GammaModel(1.0, -math.log(35.0), 0.5, 560.0)
+    m.run(*long_signal())
+    mean, q = m.forecast(6, samples=1000)
+    assert ((mean > 20) & (mean < 120)).all() and (q[0] < q[1]).all() and (q[1] < q[2]).all()
+
+
 def test_detectors_find_a_jump():
     rng = np.random.default_rng(0)
     v = np.r_[rng.normal(40, 1, 60), rng.normal(60, 1, 60)]
