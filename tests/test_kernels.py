@@ -211,3 +211,17 @@ def test_distribution_tests():
     assert not spectra.gmm_delta_bic(normal)["bimodal"] and spectra.gmm_delta_bic(two)["mode_gap"] == pytest.approx(8, abs=0.4)
     assert spectra.adf(normal) < 0.01 < 0.1 < spectra.adf(walk)
     assert spectra.shapiro(normal)[1] > 0.01 and spectra.shapiro(two)[1] < 1e-6
+
+
+def test_unit_root_regression_is_held_some_rows_at_a_time(monkeypatch):
+    import tracemalloc
+
+    walk = np.cumsum(np.random.default_rng(6).normal(size=60_000))
+    tracemalloc.start()
+    p = spectra.adf(walk)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The whole regression has 62 columns of 60,000 doubles, 30 MB.
+    assert held < 10e6 and 0.01 < p < 1
+    monkeypatch.setattr(spectra, "ADF_ROWS", 10**6)
+    assert spectra.adf(walk) == pytest.approx(p, abs=1e-9)

@@ -64,23 +64,36 @@ def gmm_delta_bic(x: np.ndarray, rounds: int = 200, tol: float = 1e-3) -> dict:
     return {"delta_bic": delta, "bimodal": delta > 10, "means": mean[order].tolist(), "mode_gap": float(np.ptp(mean)), "weights": sorted(share.tolist())}
 
 
+#: Rows of the regression that are held at a time.
+ADF_ROWS = 4096
+
+
 def adf(x: np.ndarray) -> float:
     """p-value of the augmented Dickey-Fuller test with a constant; lags by AIC up to 12 (n/100)^(1/4)."""
     d, n = np.diff(x), len(x)
     most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
 
-    def fit(lags: int, skip: int):
-        cols = [x[skip:-1], *[d[skip - k : len(d) - k] for k in range(1, lags + 1)], np.ones(len(d) - skip)]
-        a, y = np.column_stack(cols), d[skip:]
-        coef, *_ = np.linalg.lstsq(a, y, rcond=None)
-        rss = float(((y - a @ coef) ** 2).sum())
-        return a, coef, rss, len(y)
-
-    scores = [(m * math.log(max(rss, 1e-300) / m) + 2 * (k + 2), k) for k in range(most + 1) for _, _, rss, m in [fit(k, most)]]
+    def triangle(lags: int, skip: int):
+        """R of the QR of [1, level, lagged differences, difference], some rows at a time: it has all that least squares need."""
+        r = np.empty((0, lags + 3))
+        for first in range(skip, len(d), ADF_ROWS):
+            at = np.arange(first, min(first + ADF_ROWS, len(d)))
+            cols = [np.ones(len(at)), x[at], *[d[at - k] for k in range(1, lags + 1)], d[at]]
+            r = np.linalg.qr(np.vstack([r, np.column_stack(cols)]), mode="r")
+        return r, len(d) - skip
+
+    def fit(r, m, lags: int):
+        a, y = r[:, : lags + 2], r[:, -1]
+        coef, *_ = np.linalg.lstsq(a, y, rcond=np.finfo(float).eps * m)
+        return a, coef, float(((y - a @ coef) ** 2).sum())
+
+    r, m = triangle(most, most)
+    scores = [(m * math.log(max(rss, 1e-300) / m) + 2 * (k + 2), k) for k in range(most + 1) for _, _, rss in [fit(r, m, k)]]
     lags = min(scores)[1]
-    a, coef, rss, m = fit(lags, lags)
-    se = math.sqrt(max(rss, 1e-300) / (m - lags - 2) * np.linalg.pinv(a.T @ a)[0, 0])
-    stat = coef[0] / se
+    r, m = triangle(lags, lags)
+    a, coef, rss = fit(r, m, lags)
+    se = math.sqrt(max(rss, 1e-300) / (m - lags - 2) * np.linalg.pinv(a.T @ a)[1, 1])
+    stat = coef[1] / se
     # MacKinnon's response surface for one series with a constant.
     if stat > 2.74:
         return 1.0
