@@ -179,6 +179,15 @@ def test_kernel_breaks_are_the_cheapest():
     assert changes.kernel_breaks(v, pen, least) == want[::-1]
 
 
+def test_kernel_breaks_look_back_to_the_oldest_open_start_only(monkeypatch):
+    v = np.repeat(np.random.default_rng(8).permutation(200) * 1.0, 20)
+    seen, cut = [], np.cumsum
+    monkeypatch.setattr(changes.np, "cumsum", lambda x: seen.append(len(x)) or cut(x))
+    assert changes.kernel_breaks(v)
+    # From the first row on it was half of all pairs, 8 million.
+    assert sum(seen) < 1e6
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 50, 51, 2500])
 def test_kernel_scale_is_the_median_of_all_pairs(n):
     rng = np.random.default_rng(n)

@@ -79,7 +79,8 @@ def kernel_breaks(v: np.ndarray, penalty: float = 4.0, least: int = 3) -> list[i
     """Starts of new segments under the penalised Gaussian-kernel cost, exactly, with pruning.
 
     The kernel's scale is the median squared distance. Block sums are carried from
-    column to column, so memory is linear in the rows.
+    column to column, so memory is linear in the rows, and from the oldest start
+    that is still open: time is the rows times the reach of the open starts.
     """
     n = len(v)
     scale = median_squared_distance(v) or 1.0
@@ -87,9 +88,10 @@ def kernel_breaks(v: np.ndarray, penalty: float = 4.0, least: int = 3) -> list[i
     best[0] = -penalty
     block, open_starts = np.zeros(n), np.array([0])
     for end in range(1, n + 1):
-        column = np.clip(np.exp(-np.clip((v[:end] - v[end - 1]) ** 2 / scale, 1e-2, 1e2)), 0, 1)
+        oldest = open_starts[0]
+        column = np.clip(np.exp(-np.clip((v[oldest:end] - v[end - 1]) ** 2 / scale, 1e-2, 1e2)), 0, 1)
         column[-1] = 1.0
-        block[:end] += 2 * np.cumsum(column[::-1])[::-1] - 1.0
+        block[oldest:end] += 2 * np.cumsum(column[::-1])[::-1] - 1.0
         starts = open_starts[end - open_starts >= least]
         if not len(starts):
             continue
