@@ -157,6 +157,37 @@ def test_detectors_find_a_jump():
         assert len(f(t[:1], flat[:1])[0]) == 1
 
 
+def test_chain_by_stretches_is_the_chain():
+    rng = np.random.default_rng(7)
+    like, move, start = rng.uniform(0, 1, (2003, 2)) ** 9, np.array([[0.9, 0.1], [0.3, 0.7]]), np.array([0.2, 0.8])
+    got = changes._by_stretches(like, move, start)
+    forward = np.empty((2003, 2))
+    for i in range(2003):
+        p = (forward[i - 1] @ move if i else start) * like[i]
+        forward[i] = p / p.sum()
+        assert got[2][i] == pytest.approx(p.sum(), rel=1e-9)
+    back = np.ones(2)
+    for i in range(2002, -1, -1):
+        assert got[0][i] == pytest.approx(forward[i], abs=1e-12) and got[1][i] == pytest.approx(back, rel=1e-9)
+        back = move @ (like[i] * back) / got[2][i]
+    path, ways = changes._likeliest(np.log(like[:10]), move, start), {}
+    for bits in range(1024):
+        s = [bits >> i & 1 for i in range(10)]
+        ways[tuple(s)] = np.log(start[s[0]]) + sum(np.log(move[a, b]) for a, b in zip(s, s[1:])) + sum(np.log(like[i, a]) for i, a in enumerate(s))
+    assert tuple(path) == max(ways, key=ways.get)
+
+
+def test_two_state_annotation_of_a_long_segment_is_by_stretches(monkeypatch):
+    calls, whole = [], changes._by_stretches
+    monkeypatch.setattr(changes, "_by_stretches", lambda *a: calls.append(1) or whole(*a))
+    rng = np.random.default_rng(9)
+    v = np.r_[rng.normal(40, 1, 1500), rng.normal(60, 1, 1500)]
+    long = changes.hmm(np.arange(3000.0), v)
+    monkeypatch.setattr(changes, "LONG", 10**9)
+    plain = changes.hmm(np.arange(3000.0), v)
+    assert calls and (long[0] == plain[0]).all() and long[1] == pytest.approx(plain[1], abs=1e-9)
+
+
 def test_kernel_breaks_are_the_cheapest():
     rng = np.random.default_rng(4)
     v = np.r_[rng.normal(0, 1, 7), rng.normal(4, 1, 6), rng.normal(0, 1, 5)]

@@ -147,8 +147,14 @@ def kalman(t, v, noise: float = 10.0, drift: float = 0.1, limit: float = 60.0, m
     return types, np.minimum(scores / limit, 1.0)
 
 
+#: Rows from which a chain is computed by stretches.
+LONG = 1000
+
+
 def _forward_backward(like, move, start):
     n = len(like)
+    if n >= LONG:
+        return _by_stretches(like, move, start)
     alpha, beta, scale = np.empty((n, 2)), np.ones((n, 2)), np.empty(n)
     p = start
     for i in range(n):
@@ -161,6 +167,65 @@ def _forward_backward(like, move, start):
     return alpha, beta, scale
 
 
+def _by_stretches(like, move, start):
+    """The same by square-root-long stretches, all at once: each stretch's product of two by two matrices gives what
+    enters it from either side, then one pass each way fills them."""
+    n = len(like)
+    size = int(np.sqrt(n))
+    parts = -(-n // size)
+    rows = np.ones((parts * size, 2))
+    rows[:n] = like
+    rows = np.ascontiguousarray(rows.reshape(parts, size, 2).transpose(1, 2, 0))
+    (ma, mb), (mc, md) = move
+    a, b, c, d = np.ones(parts), np.zeros(parts), np.zeros(parts), np.ones(parts)
+    for u, w in rows:
+        a, b, c, d = a * u, b * w, c * u, d * w
+        a, b, c, d = a * ma + b * mc, a * mb + b * md, c * ma + d * mc, c * mb + d * md
+        total = a + b + c + d
+        a, b, c, d = a / total, b / total, c / total, d / total
+    before, after = np.empty((2, parts)), np.ones((2, parts))
+    p = start
+    for i in range(parts):
+        before[:, i] = p
+        p = np.array([p[0] * a[i] + p[1] * c[i], p[0] * b[i] + p[1] * d[i]])
+        p = p / p.sum()
+    for i in range(parts - 1, 0, -1):
+        p = np.array([a[i] * after[0, i] + b[i] * after[1, i], c[i] * after[0, i] + d[i] * after[1, i]])
+        after[:, i - 1] = p / p.sum()
+    alpha, beta, scale = np.empty(rows.shape), np.empty(rows.shape), np.empty((size, parts))
+    p, q = before
+    for i, (u, w) in enumerate(rows):
+        p, q = p * u, q * w
+        scale[i] = np.maximum(p + q, 1e-300)
+        p, q = alpha[i] = np.stack([p, q]) / scale[i]
+        p, q = p * ma + q * mc, p * mb + q * md
+    p, q = after
+    for i in range(size - 1, -1, -1):
+        p, q = p * ma + q * mb, p * mc + q * md
+        # Scaled as in the recursion: with alpha it sums to 1.
+        p, q = beta[i] = np.stack([p, q]) / (alpha[i, 0] * p + alpha[i, 1] * q)
+        p, q = p * rows[i, 0], q * rows[i, 1]
+        total = p + q
+        p, q = p / total, q / total
+    back = lambda x: x.transpose(2, 0, 1).reshape(-1, 2)[:n]
+    return back(alpha), back(beta), scale.T.ravel()[:n]
+
+
+def _likeliest(like, move, start) -> np.ndarray:
+    """Viterbi path of two states from log likelihoods; plain numbers, as small arrays would cost ten times as much."""
+    (aa, ab), (ba, bb) = np.log(move + 1e-300).tolist()
+    (x, y), n = (np.log(start + 1e-300) + like[0]).tolist(), len(like)
+    from_a, from_b = bytearray(n), bytearray(n)
+    for i, (u, w) in enumerate(zip(like[1:, 0].tolist(), like[1:, 1].tolist(), strict=True), 1):
+        from_a[i], from_b[i] = y + ba > x + aa, y + bb > x + ab
+        x, y = max(x + aa, y + ba) + u, max(x + ab, y + bb) + w
+    path = np.empty(n, int)
+    at = path[-1] = int(y > x)
+    for i in range(n - 1, 0, -1):
+        at = path[i - 1] = from_b[i] if at else from_a[i]
+    return path
+
+
 def hmm(t, v, rounds: int = 100, tol: float = 1e-2):
     """Two Gaussian states by EM from the outer quartiles (deterministic); degree: posterior of the rarer state."""
     n = len(v)
@@ -177,7 +242,7 @@ def hmm(t, v, rounds: int = 100, tol: float = 1e-2):
         alpha, beta, scale = _forward_backward(like, move, start)
         post = alpha * beta
         post /= post.sum(axis=1, keepdims=True)
-        pairs = np.einsum("ti,ij,tj->ij", alpha[:-1], move, like[1:] * beta[1:] / scale[1:, None])
+        pairs = alpha[:-1].T @ (like[1:] * beta[1:] / scale[1:, None]) * move
         start = post[0]
         move = (pairs * 1.0 + 1e-12) / (pairs.sum(axis=1, keepdims=True) + 2e-12)
         mass = post.sum(axis=0) + 1e-12
@@ -188,15 +253,7 @@ def hmm(t, v, rounds: int = 100, tol: float = 1e-2):
             break
         last = total
     like = -0.5 * (x[:, None] - mean) ** 2 / var - 0.5 * np.log(2 * np.pi * var)
-    score, back, logs = np.log(start + 1e-300) + like[0], np.zeros((n, 2), int), np.log(move + 1e-300)
-    for i in range(1, n):
-        ways = score[:, None] + logs
-        back[i] = ways.argmax(axis=0)
-        score = ways.max(axis=0) + like[i]
-    path = np.empty(n, int)
-    path[-1] = score.argmax()
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
+    path = _likeliest(like, move, start)
     degrees = post[:, int(np.bincount(path, minlength=2).argmin())]
     turns = np.flatnonzero(np.diff(path)) + 1
     near = np.unique(np.clip(np.r_[turns - 1, turns + 1], 0, n - 1))
