@@ -92,6 +92,21 @@ def test_smc_agrees_with_the_truth():
     assert np.array_equal(mean, filters.smooth_smc(t, v, par, 1)[0])
 
 
+def test_smc_holds_one_stretch_of_particles(monkeypatch):
+    import tracemalloc
+
+    t, v = signal(1500)
+    par = {"lo": 10.0, "hi": 90.0, "z_level_loc": 0.0, "z_level_scale": 0.5, "z_seas_scale": 0.3, "sigma_obs": 6.0, "sigma_level": 0.05, "sigma_seas": 0.01, "omega1": 2 * math.pi / 144, "omega2": 4 * math.pi / 144}
+    whole = filters.smooth_smc(t, v, par, 1)
+    monkeypatch.setattr(filters, "MARK", 100)
+    tracemalloc.start()
+    parts = filters.smooth_smc(t, v, par, 1)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All states of 1500 times are 18 MB.
+    assert held < 6e6 and all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+
+
 def test_gamma_model_offline_forecast_and_missing():
     t, v = signal(120)
     v[40] = np.nan
