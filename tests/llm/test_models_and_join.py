@@ -301,3 +301,30 @@ def test_kth_greatest(spark, values, k):
 def test_best_threshold():
     assert quality.best_threshold(np.array([-5.0, -4, 1, 2]), np.array([0, 0, 1, 1])) == -1.5
     assert quality.best_threshold(np.array([1.0, 2]), np.array([1, 1])) == -np.inf
+
+
+def test_quality_counts_hold_the_ngrams_of_a_few_texts():
+    import tracemalloc
+    from contextlib import nullcontext
+    from unittest import mock
+
+    import pyarrow as pa
+
+    held = []
+
+    class Rows(mock.MagicMock):
+        def mapInArrow(self, f, schema):
+            held.append(f)
+            return mock.MagicMock()
+
+    rows = Rows()
+    rows.select.return_value = rows
+    with mock.patch.object(quality, "settings", lambda spark: nullcontext(), create=True), mock.patch.object(quality.F, "sum"):
+        quality._counts(rows)
+    batch = pa.RecordBatch.from_pydict({"text": ["a b c d e " * 100] * 3000})
+    tracemalloc.start()
+    (out,) = held[0]([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All n-grams of the batch are 24 MB, twice.
+    assert peak < 12e6 and sum(out.column("n").to_pylist()) == 3000 * 999

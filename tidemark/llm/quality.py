@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import labelled_sample
-from tidemark.llm.storage import Scratch, materialize
+from tidemark.llm.storage import Scratch, materialize, settings
 
 BUCKETS = 1 << 16
+#: Texts whose n-grams are held at a time.
+TEXTS = 200
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _U = np.uint64
 
@@ -45,12 +47,13 @@ def _counts(texts: DataFrame) -> np.ndarray:
 
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            if b.num_rows:
-                total += np.bincount(np.concatenate([ngrams(t) for t in b.column("text").to_pylist()]), minlength=BUCKETS)
+            for i in range(0, b.num_rows, TEXTS):  # the n-grams of a few texts at a time: a worker keeps what it once took
+                total += np.bincount(np.concatenate([ngrams(t) for t in b.column("text").slice(i, TEXTS).to_pylist()]), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    rows = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    with settings(texts.sparkSession):
+        rows = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -77,7 +80,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, prior: float =
         if not target.any():
             return np.zeros(BUCKETS), -np.inf
         ratio = log_ratio(target, _counts(docs), prior)
-        weights = _weighed(sample.selectExpr("CAST(label AS long) AS doc_id", "text"), ratio, 0).select("doc_id", "log_weight").collect()  # at most ``bound`` rows
+        with settings(docs.sparkSession):
+            weights = _weighed(sample.selectExpr("CAST(label AS long) AS doc_id", "text"), ratio, 0).select("doc_id", "log_weight").collect()  # at most ``bound`` rows
     return ratio, best_threshold(np.array([r["log_weight"] for r in weights]), np.array([r["doc_id"] for r in weights]))
 
 

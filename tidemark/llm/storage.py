@@ -44,7 +44,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _settings(spark: SparkSession):
+def settings(spark: SparkSession):
     before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     try:
         for k, v in _SETTINGS.items():
@@ -57,7 +57,7 @@ def _settings(spark: SparkSession):
 
 def write(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to ``path`` as Parquet and read it back; its shuffle files are removed."""
-    with _settings(df.sparkSession):
+    with settings(df.sparkSession):
         df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
