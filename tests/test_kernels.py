@@ -280,3 +280,12 @@ def test_unit_root_regression_is_held_some_rows_at_a_time(monkeypatch):
     assert held < 10e6 and 0.01 < p < 1
     monkeypatch.setattr(spectra, "ADF_ROWS", 10**6)
     assert spectra.adf(walk) == pytest.approx(p, abs=1e-9)
+
+
+def test_kernel_breaks_of_a_smoothed_segment_stay_near(monkeypatch):
+    z = np.log(np.repeat(np.random.default_rng(10).exponential(50, 150) + 1, 30))
+    v = np.exp(filters.smooth_switching(np.repeat(np.arange(150.0), 30) * 5, z - z.mean(), [-0.5, 0.5], [0.01, 0.01], [0.05, 0.05], 5.0))
+    seen, cut = [], np.cumsum
+    monkeypatch.setattr(changes.np, "cumsum", lambda x: seen.append(len(x)) or cut(x))
+    assert changes.kernel_breaks(v) and sum(seen) < 2e6  # of 10 million pairs
+
