@@ -289,3 +289,11 @@ def test_kernel_breaks_of_a_smoothed_segment_stay_near(monkeypatch):
     monkeypatch.setattr(changes.np, "cumsum", lambda x: seen.append(len(x)) or cut(x))
     assert changes.kernel_breaks(v) and sum(seen) < 2e6  # of 10 million pairs
 
+
+def test_unit_root_of_a_smoothed_series_solves_small_systems_only(monkeypatch):
+    z = np.random.default_rng(11).normal(size=5000)
+    x = np.exp(3.7 + filters.smooth_switching(np.arange(5000) * 10.0, z, [-0.5, 0.5], [0.01, 0.01], [0.05, 0.05], 10.0))
+    rows, solve = [], np.linalg.lstsq
+    monkeypatch.setattr(spectra.np.linalg, "lstsq", lambda a, y, rcond: rows.append(len(a)) or solve(a, y, rcond=rcond))
+    assert 0 <= spectra.adf(x) <= 1 and max(rows) < 50
+
