@@ -328,3 +328,23 @@ def test_quality_counts_hold_the_ngrams_of_a_few_texts():
     tracemalloc.stop()
     # All n-grams of the batch are 24 MB, twice.
     assert peak < 12e6 and sum(out.column("n").to_pylist()) == 3000 * 999
+
+
+def test_queries_of_a_scratch_keep_short_plan_texts(spark, shared):
+    # Columns with long names, as a plan's text lists them.
+    wide = spark.range(10).select(*[F.col("id").alias(f"{'c' * 200}{k}") for k in range(20)])
+    with Scratch(spark, "test") as space:
+        kept = space.keep(wide, "wide")
+        kept.groupBy(*kept.columns).count().collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        seen = spark._jsparkSession.sharedState().statusStore().executionsList()
+        texts = [seen.apply(k).physicalPlanDescription() for k in range(seen.size() - 2, seen.size())]
+    assert max(map(len, texts)) < 2500
+    assert spark.conf.get("spark.sql.maxPlanStringLength") != "2000"
+
+
+def test_filter_words_come_packed(spark):
+    words = spark.range(5000).selectExpr("id * 3 AS word", "id * 858993 AS bits")
+    table = jaccard_join._table(words)
+    assert len(table) == jaccard_join.FILTER_BITS // 32 and int((table > 0).sum()) == 4999
+    assert all(table[k * 3] == k * 858993 for k in (1, 2, 4999)) and table[1] == 0

@@ -381,6 +381,22 @@ def _prune(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long")
 
 
+def _table(words: DataFrame) -> np.ndarray:
+    """The filter's bits from ``words`` (word, bits): tasks pack theirs, so the driver gets a few arrays and no rows."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at, bits = (b.column(c).to_numpy().astype(np.uint32).tobytes() for c in ("word", "bits"))
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.binary()), pa.array([bits], pa.binary())], ["at", "bits"])
+
+    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    for r in words.mapInArrow(pack, "at binary, bits binary").collect():
+        table[np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["bits"], np.uint32)
+    return table
+
+
 def _members(docs: DataFrame, classes: DataFrame, need: DataFrame) -> DataFrame:
     """(cls, members) of the classes ``need`` (cls), and of some others.
 
@@ -390,9 +406,7 @@ def _members(docs: DataFrame, classes: DataFrame, need: DataFrame) -> DataFrame:
     reps = classes.join(need, "cls").select(F.col("rep").alias("doc_id"))
     slots = lambda: F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(FILTER_BITS)) for k in range(2)]))
     words = reps.select(slots().alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 32 AS INT)))").alias("bits"))
-    table = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words.collect():  # FILTER_BITS / 32 rows at most
-        table[r["word"]] = r["bits"]
+    table = _table(words)
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def sets(batches):

@@ -15,8 +15,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 #: While a table is written. Shuffle files of a query go when it has ended: what it wrote is in the shared folder.
-#: Rows go to Python in small batches, as whole texts and sets are long.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Rows go to Python in small batches, as whole texts and sets are long. The driver keeps the plan of each query as a
+#: text, and writes it anew whenever a part of it has ended: of plans with a hundred operators, only the beginning.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.maxPlanStringLength": "2000"}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -84,15 +85,19 @@ class Scratch:
 
     ``with Scratch(spark, "tag") as space:`` then ``space.keep(df, name)`` writes and
     reads back, ``space.drop(kept)`` removes a table that is not needed any more.
+    The settings for writing hold for all queries meanwhile.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.paths = spark, scratch_path(spark, tag), {}
 
     def __enter__(self) -> Scratch:
+        self.held = settings(self.spark)
+        self.held.__enter__()
         return self
 
     def __exit__(self, *_) -> None:
+        self.held.__exit__(None, None, None)
         remove(self.spark, self.root)
 
     def keep(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
