@@ -297,3 +297,20 @@ def test_unit_root_of_a_smoothed_series_solves_small_systems_only(monkeypatch):
     monkeypatch.setattr(spectra.np.linalg, "lstsq", lambda a, y, rcond: rows.append(len(a)) or solve(a, y, rcond=rcond))
     assert 0 <= spectra.adf(x) <= 1 and max(rows) < 50
 
+
+def test_median_distance_is_searched_once_if_both_middle_ones_are_equal(monkeypatch):
+    v = np.repeat([0.0, 1.0, 3.0], 8)  # an even number of pairs
+    d = np.sort([(a - b) ** 2 for i, a in enumerate(v) for b in v[:i]])
+    assert d[len(d) // 2 - 1] == d[len(d) // 2] and len(d) % 2 == 0
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **b: calls.append(1) or search(*a, **b))
+    assert changes.median_squared_distance(v) == d[len(d) // 2]
+    assert len(calls) < 100  # one search over the bits of a double takes 62, and more for ties
+
+
+def test_kernel_breaks_take_few_numpy_calls_a_row(monkeypatch):
+    v = np.random.default_rng(5).normal(size=300) + np.repeat([0.0, 6.0, 0.0], 100)
+    seen, clip = [], np.clip
+    monkeypatch.setattr(np, "clip", lambda *a, **b: seen.append(1) or clip(*a, **b))
+    assert changes.kernel_breaks(v) == [100, 200] and len(seen) < 300
+    assert changes.kernel_breaks(np.repeat([0, 6, 0], 20)) == [20, 40]

@@ -72,7 +72,9 @@ def median_squared_distance(v: np.ndarray) -> float:
             lo, hi = (lo, mid) if within(np.int64(mid).view(np.float64)) >= k else (mid + 1, hi)
         return float(np.int64(lo).view(np.float64))
 
-    return (kth((pairs + 1) // 2) ** 2 + kth(pairs // 2 + 1) ** 2) / 2
+    low = kth((pairs + 1) // 2)
+    high = low if within(low) >= pairs // 2 + 1 else kth(pairs // 2 + 1)
+    return (low**2 + high**2) / 2
 
 
 def kernel_breaks(v: np.ndarray, penalty: float = 4.0, least: int = 3) -> list[int]:
@@ -80,26 +82,37 @@ def kernel_breaks(v: np.ndarray, penalty: float = 4.0, least: int = 3) -> list[i
 
     The kernel's scale is the median squared distance. Block sums are carried from
     column to column, so memory is linear in the rows, and from the oldest start
-    that is still open: time is the rows times the reach of the open starts.
+    that is still open: time is the rows times the reach of the open starts. Few
+    are, so each call of NumPy counts, and arrays are written in place.
     """
-    n = len(v)
+    v, n = np.asarray(v, float), len(v)
     scale = median_squared_distance(v) or 1.0
     best, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
-    block, open_starts = np.zeros(n), np.array([0])
+    block, starts, place = np.zeros(n), np.zeros(1, int), np.zeros(n + 1, int)
     for end in range(1, n + 1):
-        oldest = open_starts[0]
-        column = np.clip(np.exp(-np.clip((v[oldest:end] - v[end - 1]) ** 2 / scale, 1e-2, 1e2)), 0, 1)
+        oldest = starts[0]
+        column = v[oldest:end] - v[end - 1]
+        column *= column
+        column /= scale
+        np.maximum(column, 1e-2, out=column)
+        np.minimum(column, 1e2, out=column)
+        np.exp(np.negative(column, out=column), out=column)
         column[-1] = 1.0
-        block[oldest:end] += 2 * np.cumsum(column[::-1])[::-1] - 1.0
-        starts = open_starts[end - open_starts >= least]
-        if not len(starts):
+        sums = np.cumsum(column[::-1])
+        sums *= 2
+        sums -= 1.0
+        block[oldest:end] += sums[::-1]
+        if end < least:
             continue
-        cost = best[starts] + (end - starts) - block[starts] / (end - starts) + penalty
-        k = int(np.argmin(cost))
+        # The starts ascend, and the last came with the row before: all are ``least`` rows old.
+        size = end - starts
+        cost = best[starts] + size - block[starts] / size + penalty
+        k = int(cost.argmin())
         best[end], cut[end] = cost[k], starts[k]
-        keep = np.r_[starts[cost - penalty <= best[end]], open_starts[end - open_starts < least]]
-        open_starts = np.r_[keep, end - least + 1] if end - least + 1 > 0 and end - least + 1 not in keep else keep
+        keep = starts[cost - penalty <= cost[k]]
+        place[: len(keep)], place[len(keep)] = keep, end - least + 1
+        starts = place[: len(keep) + 1]
     out, at = [], n
     while cut[at] > 0:
         at = int(cut[at])
