@@ -92,3 +92,24 @@ def test_stages_judge_rows(spark, shared, sf_dir):
     assert pieces.groupBy().sum("length").first()[0] == sum(r.doc_tokens for r in pieces.where("start = 0").collect())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_workers_give_back_what_arrow_holds(spark, small_docs, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import jaccard_join
+
+    seen, calls = [], []
+    plain = type(small_docs).mapInArrow
+    monkeypatch.setattr(type(small_docs), "mapInArrow", lambda self, run, *a, **k: (seen.append(run), plain(self, run, *a, **k))[1])
+    found = quality._weighed(small_docs, np.zeros(quality.BUCKETS), 0)
+    jaccard_join._profiles(small_docs.select("doc_id", "text"), "bigint")
+    assert found.count() == small_docs.count()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b", None])], ["doc_id", "text"])
+    pool = type("Pool", (), {"release_unused": lambda self: calls.append(1)})()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    out = list(seen[0](iter([batch, batch])))
+    assert [b.num_rows for b in out] == [2, 2] and calls == [1]
+    list(seen[1](iter([batch])))
+    assert calls == [1, 1]

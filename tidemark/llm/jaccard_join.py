@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components, merge_components
-from tidemark.llm.storage import Scratch, materialize
+from tidemark.llm.storage import Scratch, lean, materialize
 
 WIDTH = 5
 #: Counters of shingle frequencies, in blocks that are summed by a task each.
@@ -210,7 +210,7 @@ def _profiles(docs: DataFrame, id_type: str) -> DataFrame:
             blobs = pa.array([pack(counts[k * BLOCK : (k + 1) * BLOCK].astype(np.uint8).tobytes()) for k in range(blocks)], pa.binary())
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(blocks), pa.int64()), blobs], names)
 
-    return docs.mapInArrow(profile, f"doc_id {id_type}, n long, cls long, sketch binary, block long, counts binary")
+    return docs.mapInArrow(lean(profile), f"doc_id {id_type}, n long, cls long, sketch binary, block long, counts binary")
 
 
 def _counter_codes(profiles: DataFrame) -> tuple[np.ndarray, int]:
@@ -230,7 +230,7 @@ def _counter_codes(profiles: DataFrame) -> tuple[np.ndarray, int]:
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([int(x.sum())]), pa.array([_code(x).tobytes()], pa.binary())], ["block", "total", "codes"])
 
     blobs = profiles.where("block IS NOT NULL").select("block", "counts")
-    rows = blobs.repartition(COUNTERS // BLOCK, "block").mapInArrow(total, "block long, total long, codes binary").collect()
+    rows = blobs.repartition(COUNTERS // BLOCK, "block").mapInArrow(lean(total), "block long, total long, codes binary").collect()
     codes = np.zeros(COUNTERS, np.uint8)
     for r in rows:
         codes[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["codes"], np.uint8)
@@ -268,7 +268,7 @@ def _candidates(docs: DataFrame, codes: np.ndarray, common: int, percent: int) -
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (k, c, e)], ["key", "cls", "rare"])
 
-    return docs.select("text").mapInArrow(keys, "key long, cls long, rare long")
+    return docs.select("text").mapInArrow(lean(keys), "key long, cls long, rare long")
 
 
 def _groups(rows: DataFrame, classes: DataFrame, space: Scratch, percent: int) -> DataFrame:
@@ -378,7 +378,7 @@ def _prune(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             ok = [hamming(sa, sb) <= allowed(na, nb, percent) for na, nb, sa, sb in zip(*cols, strict=True)]
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long")
+    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(near), "a long, b long")
 
 
 def _table(words: DataFrame) -> np.ndarray:
@@ -392,7 +392,7 @@ def _table(words: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.binary()), pa.array([bits], pa.binary())], ["at", "bits"])
 
     table = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words.mapInArrow(pack, "at binary, bits binary").collect():
+    for r in words.mapInArrow(lean(pack), "at binary, bits binary").collect():
         table[np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["bits"], np.uint32)
     return table
 
@@ -424,7 +424,7 @@ def _members(docs: DataFrame, classes: DataFrame, need: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([set_class(s)], pa.int64()), pa.array([s.tobytes()], pa.binary())], ["cls", "members"])
 
     hashed = docs.where("doc_id IS NOT NULL").select("text", *[F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(FILTER_BITS)).alias(f"s{k}") for k in range(2)])
-    return hashed.mapInArrow(sets, "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
+    return hashed.mapInArrow(lean(sets), "cls long, members binary").groupBy("cls").agg(F.first("members").alias("members"))
 
 
 def _verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -445,7 +445,7 @@ def _verify(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     side = lambda x: members.select(F.col("cls").alias(x), F.col("members").alias(f"m{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "ma", "mb").mapInArrow(compare, "u long, v long, shared long, united long")
+    return both.select("a", "b", "ma", "mb").mapInArrow(lean(compare), "u long, v long, shared long, united long")
 
 
 def jaccard_links(docs: DataFrame, percent: int = 75, space: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

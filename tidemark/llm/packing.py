@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.encoding import chunks, encoder
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import lean, materialize
 from tidemark.llm.streams import buckets_for, stream_offsets, sums_before
 
 #: Tokens of a range of turns, which a task orders.
@@ -45,7 +45,7 @@ def tokenized(docs: DataFrame, tokenizer: str, style: str, end_id: int) -> DataF
 
     kinds = dict(docs.dtypes)
     schema = f"doc_id {kinds['doc_id']}, source {kinds['source']}, ids binary"
-    return docs.select("doc_id", "source", "text").mapInArrow(encode, schema)
+    return docs.select("doc_id", "source", "text").mapInArrow(lean(encode), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, style: str = "byte", end_id: int = 1, window: int = 2048, quantum: int = 128, seed: int = 23, weights: dict | None = None) -> DataFrame:
@@ -110,5 +110,5 @@ def _with_crc(pieces: DataFrame) -> DataFrame:
             yield b.set_column(at, "ids_crc32", pa.array(sums, pa.int64()))
 
     schema = T.StructType([T.StructField("ids_crc32", T.LongType()) if f.name == "ids" else f for f in pieces.schema])
-    return pieces.mapInArrow(crc, schema)
+    return pieces.mapInArrow(lean(crc), schema)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import labelled_sample
-from tidemark.llm.storage import Scratch, materialize, settings
+from tidemark.llm.storage import Scratch, lean, materialize, settings
 
 BUCKETS = 1 << 16
 #: Texts whose n-grams are held at a time.
@@ -53,7 +53,7 @@ def _counts(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
     with settings(texts.sparkSession):
-        rows = texts.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+        rows = texts.select("text").mapInArrow(lean(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -126,7 +126,7 @@ def _weighed(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
             found = _keys(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), held.value, seed)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, found)], ["doc_id", "log_weight", "gumbel_key", "ordinal"])
 
-    return docs.select("doc_id", "text").mapInArrow(weigh, f"doc_id {id_type}, log_weight double, gumbel_key double, ordinal long")
+    return docs.select("doc_id", "text").mapInArrow(lean(weigh), f"doc_id {id_type}, log_weight double, gumbel_key double, ordinal long")
 
 
 def kth_greatest(rows: DataFrame, col: str, k: int) -> int | None:
@@ -186,4 +186,4 @@ def keep(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 1
             ordinal = _keys(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), held.value, seed)[2]
             yield b.filter(pa.array(ordinal >= last))
 
-    return docs.mapInArrow(chosen, docs.schema)
+    return docs.mapInArrow(lean(chosen), docs.schema)

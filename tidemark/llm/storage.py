@@ -15,9 +15,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 #: While a table is written. Shuffle files of a query go when it has ended: what it wrote is in the shared folder.
-#: Rows go to Python in small batches, as whole texts and sets are long. The driver keeps the plan of each query as a
+#: Rows are read and go to Python in small batches, as whole texts and sets are long. The driver keeps the plan of each query as a
 #: text, and writes it anew whenever a part of it has ended: of plans with a hundred operators, only the beginning.
-_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.maxPlanStringLength": "2000"}
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "1024", "spark.sql.maxPlanStringLength": "2000"}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -56,6 +56,23 @@ def settings(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def lean(run):
+    """``run`` for ``mapInArrow``; when its rows have passed, the worker gives back what Arrow holds of them.
+
+    Workers wait for the next task with all they once took, beside tasks that do not use Python.
+    """
+
+    def passed(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return passed
+
+
 def write(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to ``path`` as Parquet and read it back; its shuffle files are removed."""
     with settings(df.sparkSession):
