@@ -314,3 +314,30 @@ def test_kernel_breaks_take_few_numpy_calls_a_row(monkeypatch):
     monkeypatch.setattr(np, "clip", lambda *a, **b: seen.append(1) or clip(*a, **b))
     assert changes.kernel_breaks(v) == [100, 200] and len(seen) < 300
     assert changes.kernel_breaks(np.repeat([0, 6, 0], 20)) == [20, 40]
+
+
+def test_unit_root_passes_over_a_long_series_once(monkeypatch):
+    """All lags, and the fit of the best, come from one triangle; the best is the one that least squares finds lag by lag."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=3000).cumsum() + np.sin(np.arange(3000) / 7)
+    plain, rows = np.linalg.qr, []
+    monkeypatch.setattr(spectra, "ADF_ROWS", 500)
+    monkeypatch.setattr(np.linalg, "qr", lambda a, mode: (rows.append(len(a)), plain(a, mode=mode))[1])
+    p = spectra.adf(x)
+    assert len(rows) <= 7  # six blocks of 500 rows and the few rows that fewer lags have more
+    d, most = np.diff(x), 29
+
+    def least(k, skip):
+        at = np.arange(skip, len(d))
+        a = np.column_stack([np.ones(len(at)), x[at], *[d[at - j] for j in range(1, k + 1)]])
+        coef = np.linalg.lstsq(a, d[at], rcond=None)[0]
+        return a, coef, float(((d[at] - a @ coef) ** 2).sum())
+
+    n = len(d) - most
+    lags = min((n * np.log(least(k, most)[2] / n) + 2 * (k + 2), k) for k in range(most + 1))[1]
+    a, coef, rss = least(lags, lags)
+    stat = coef[1] / np.sqrt(rss / (len(a) - lags - 2) * np.linalg.inv(a.T @ a)[1, 1])
+    poly = (2.1659, 1.4412, 0.038269) if stat <= -1.61 else (1.7339, 0.93202, -0.12745, -0.010368)
+    from statistics import NormalDist
+
+    assert p == pytest.approx(NormalDist().cdf(sum(c * stat**i for i, c in enumerate(poly))), abs=1e-9)

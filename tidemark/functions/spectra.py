@@ -73,24 +73,37 @@ def adf(x: np.ndarray) -> float:
     d, n = np.diff(x), len(x)
     most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
 
-    def triangle(lags: int, skip: int):
-        """R of the QR of [1, level, lagged differences, difference], some rows at a time: it has all that least squares need."""
-        r = np.empty((0, lags + 3))
-        for first in range(skip, len(d), ADF_ROWS):
-            at = np.arange(first, min(first + ADF_ROWS, len(d)))
-            cols = [np.ones(len(at)), x[at], *[d[at - k] for k in range(1, lags + 1)], d[at]]
-            r = np.linalg.qr(np.vstack([r, np.column_stack(cols)]), mode="r")
-        return r, len(d) - skip
+    def triangle(lags: int, skip: int, until: int, r: np.ndarray) -> np.ndarray:
+        """R of the QR of [1, level, lagged differences, difference] below the rows ``r``, some rows at a time: it has all that least squares need."""
+        for first in range(skip, until, ADF_ROWS):
+            at = slice(first, min(first + ADF_ROWS, until))
+            block = np.empty((len(r) + at.stop - first, lags + 3))
+            block[: len(r)] = r
+            rows = block[len(r) :]
+            rows[:, 0], rows[:, 1], rows[:, -1] = 1, x[at], d[at]
+            for k in range(1, lags + 1):
+                rows[:, k + 1] = d[first - k : at.stop - k]
+            r = np.linalg.qr(block, mode="r")
+        return r
 
     def fit(r, m, lags: int):
         a, y = r[:, : lags + 2], r[:, -1]
         coef, *_ = np.linalg.lstsq(a, y, rcond=np.finfo(float).eps * m)
         return a, coef, float(((y - a @ coef) ** 2).sum())
 
-    r, m = triangle(most, most)
-    scores = [(m * math.log(max(rss, 1e-300) / m) + 2 * (k + 2), k) for k in range(most + 1) for _, _, rss in [fit(r, m, k)]]
-    lags = min(scores)[1]
-    r, m = triangle(lags, lags)
+    r, m = triangle(most, most, len(d), np.empty((0, most + 3))), len(d) - most
+    size = np.linalg.svd(r[:, :-1], compute_uv=False)
+    whole = size[-1] > 4 * np.finfo(float).eps * m * size[0]
+    if whole:
+        # Of full rank, as are then all fewer lags: a fit leaves what the triangle has of the difference below its columns.
+        below = np.cumsum(r[::-1, -1] ** 2)[::-1]
+        left = [float(below[k + 2]) if k + 2 < len(below) else 0.0 for k in range(most + 1)]
+    else:
+        left = [fit(r, m, k)[2] for k in range(most + 1)]
+    lags = min((m * math.log(max(rss, 1e-300) / m) + 2 * (k + 2), k) for k, rss in enumerate(left))[1]
+    # The rows from ``most`` on are in the triangle already; fewer lags have a few rows more.
+    known = np.column_stack([r[:, : lags + 2], r[:, -1]]) if whole else np.empty((0, lags + 3))
+    r, m = triangle(lags, lags, most if whole else len(d), known), len(d) - lags
     a, coef, rss = fit(r, m, lags)
     se = math.sqrt(max(rss, 1e-300) / (m - lags - 2) * np.linalg.pinv(a.T @ a)[1, 1])
     stat = coef[1] / se
