@@ -7,7 +7,7 @@ from test_models_and_join import brute_components
 from test_scan_media_shard import spans
 from test_streams_and_packing import check_packing
 
-from tidemark.llm import quality
+from tidemark.llm import quality, storage
 from tidemark.llm.storage import read_table, scratch_path, write
 
 
@@ -113,3 +113,14 @@ def test_workers_give_back_what_arrow_holds(spark, small_docs, monkeypatch):
     assert [b.num_rows for b in out] == [2, 2] and calls == [1]
     list(seen[1](iter([batch])))
     assert calls == [1, 1]
+
+
+def test_driver_gives_back_native_memory(spark, shared, monkeypatch):
+    """After every table: what the JVM of the driver has freed goes back to the system."""
+    assert "Trim native heap" in (storage.give_back(spark) or "")
+    calls, give_back = [], storage.give_back
+    monkeypatch.setattr(storage, "give_back", lambda s: calls.append(give_back(s)))
+    with storage.Scratch(spark, "test") as space:
+        assert space.keep(spark.range(3), "one").count() == 3
+        assert storage.materialize(spark.range(5), "two").count() == 5
+    assert len(calls) == 2

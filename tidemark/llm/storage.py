@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: While a table is written. Shuffle files of a query go when it has ended: what it wrote is in the shared folder.
@@ -73,10 +74,29 @@ def lean(run):
     return passed
 
 
+def give_back(spark: SparkSession) -> str | None:
+    """The driver's JVM gives back the native memory that it has freed; its report, None of a JVM that cannot.
+
+    What compilers and readers of a query took would else stay with the process, in an arena of each thread.
+    """
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    kinds, args = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = jvm.java.lang.Class.forName(name)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # By the interface's method: the server's own class is not open to calls.
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+    try:
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        return None
+
+
 def write(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to ``path`` as Parquet and read it back; its shuffle files are removed."""
     with settings(df.sparkSession):
         df.write.parquet(path, compression=compression)
+    give_back(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
