@@ -37,10 +37,9 @@ def tokenized(docs: DataFrame, tokenizer: str, style: str, end_id: int) -> DataF
 
         enc = encoder(tokenizer, style)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in chunks(texts):
-                ids = [x + end for x in enc.encode(texts[i:j])]
-                part = b.slice(i, j - i)
+            for i, texts in chunks(b.column("text")):
+                ids = [x + end for x in enc.encode(texts)]
+                part = b.slice(i, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(ids, pa.binary())], ["doc_id", "source", "ids"])
 
     kinds = dict(docs.dtypes)
@@ -105,7 +104,11 @@ def _with_crc(pieces: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            sums = [zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4")) for x in b.column("ids")]
+            ids = b.column("ids").cast(pa.large_binary())
+            ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][: len(ids) + 1] // 2 if len(ids) else np.zeros(1, np.int64)
+            wide = np.frombuffer(ids.buffers()[2] or b"", "<u2")[ends[0] : ends[-1]].astype("<u4") if len(ids) else np.empty(0, "<u4")
+            data, ends = memoryview(wide.tobytes()), ((ends - ends[0]) * 4).tolist()
+            sums = [zlib.crc32(data[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
             at = b.schema.get_field_index("ids")
             yield b.set_column(at, "ids_crc32", pa.array(sums, pa.int64()))
 

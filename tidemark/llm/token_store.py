@@ -107,10 +107,9 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, style: str = "word"
 
         enc, zipper = encoder(tokenizer, style), zstandard.ZstdCompressor(level=level, write_checksum=True)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in chunks(texts):
-                ids = [x + end for x in enc.encode(texts[i:j])]
-                part = b.slice(i, j - i)
+            for i, texts in chunks(b.column("text")):
+                ids = [x + end for x in enc.encode(texts)]
+                part = b.slice(i, len(texts))
                 cols = [part.column(c) for c in ("doc_id", "cell", "h")]
                 cols += [pa.array([zipper.compress(x) for x in ids], pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cell", "h", "frame", "n", "crc"])
