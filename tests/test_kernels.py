@@ -341,3 +341,59 @@ def test_unit_root_passes_over_a_long_series_once(monkeypatch):
     from statistics import NormalDist
 
     assert p == pytest.approx(NormalDist().cdf(sum(c * stat**i for i, c in enumerate(poly))), abs=1e-9)
+
+
+def _pairs(monkeypatch):
+    """Sizes of the arrays whose exponentials are taken from now on."""
+    seen, exp = [], np.exp
+    monkeypatch.setattr(changes.np, "exp", lambda x, *a, **b: seen.append(np.size(x)) or exp(x, *a, **b))
+    return seen
+
+
+def test_kernel_breaks_without_a_change_do_not_take_all_pairs(monkeypatch):
+    v = np.round(np.random.default_rng(12).exponential(50, 12_000), 2)
+    seen = _pairs(monkeypatch)
+    assert changes.kernel_breaks(v) == []
+    assert sum(seen) < 3e7  # of 72 million pairs, and in proportion to the rows
+
+
+def test_kernel_breaks_take_pairs_of_the_open_reach_only(monkeypatch):
+    v = np.repeat(np.random.default_rng(8).permutation(200) * 1.0, 20)
+    seen = _pairs(monkeypatch)
+    assert changes.kernel_breaks(v) and sum(seen) < 1e6  # of 8 million pairs
+
+
+def test_kernel_breaks_make_the_sums_of_many_rows_at_once(monkeypatch):
+    v = np.random.default_rng(5).normal(size=300) + np.repeat([0.0, 6.0, 0.0], 100)
+    seen = _pairs(monkeypatch)
+    assert changes.kernel_breaks(v) == [100, 200] and len(seen) < 30
+
+
+@pytest.mark.parametrize("near", [16, 100, 400])
+@pytest.mark.parametrize("kind", ["none", "steps", "small steps", "integers", "heavy", "walk", "constant", "runs"])
+def test_kernel_breaks_are_the_same_with_starts_in_groups(monkeypatch, near, kind):
+    rng = np.random.default_rng(13)
+    v = {
+        "none": rng.exponential(50, 2000),
+        "steps": rng.normal(size=2000) + np.repeat([0.0, 2.0, 1.0, -1.0], 500),
+        "small steps": rng.normal(size=2000) + np.repeat([0.0, 0.4, -0.2, 0.1], 500),
+        "integers": rng.integers(0, 6, 2000) * 1.0,
+        "heavy": rng.standard_t(2, 2000),
+        "walk": np.cumsum(rng.normal(size=2000)) * 0.02 + rng.normal(size=2000),
+        "constant": np.full(700, 3.0),
+        "runs": np.r_[rng.exponential(50, 900), np.repeat(rng.exponential(50, 30), 30)],
+    }[kind]
+    monkeypatch.setattr(changes, "NEAR", 10**9)
+    want = changes.kernel_breaks(v)
+    monkeypatch.setattr(changes, "NEAR", near)
+    assert changes.kernel_breaks(v) == want
+
+
+def test_kernel_sums_are_those_of_the_pairs():
+    rng = np.random.default_rng(14)
+    for v in (rng.exponential(50, 1200), rng.normal(size=1200), rng.integers(0, 5, 1200) * 0.1):
+        scale = changes.median_squared_distance(v)
+        k = np.exp(-np.clip(np.subtract.outer(v, v) ** 2 / scale, 1e-2, 1e2))
+        got = changes._KernelSums(v, scale).at([0, 1, 8, 600, 1000], slice(1000, 1200))
+        want = [k[a:b, 1000:].sum(axis=0) for a, b in ((0, 1), (1, 8), (8, 600), (600, 1000))]
+        assert np.abs(got - want).max() < 1e-9

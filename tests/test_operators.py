@@ -214,3 +214,9 @@ def test_verdicts_after_smoothing_follow_the_data(spark):
     done = spark.createDataFrame([row("a", False, 40.0, 2.0, 99.0, 0.0, 48.0), row("b", False, 40.0, 2.0, 99.0, 0.0, 52.0)], fields)
     after = {r["id"]: r["verdict"] for r in profile.smoothed_verdicts(done, raw).collect()}
     assert [after[f"H{k}"] for k in (4, 5, 6, 7, 8, 10)] == ["WEAKENED", "STRENGTHENED", "SUBSTANTIALLY REDUCED", "RESOLVED", "RESOLVED", "REDUCED"]
+
+
+def test_detection_spreads_the_segments_over_tasks(spark, events):
+    rows = SeriesSpec("user_id % 10").normalise(spark.read.parquet(f"{events}/events.parquet"))
+    found = detect.detect(rows, "bocpd").select("series", F.spark_partition_id().alias("task")).distinct()
+    assert found.select("task").distinct().count() > 4 and rows.select("series").distinct().count() == 10

@@ -35,7 +35,10 @@ def detect(rows: DataFrame, methods=METHODS, by_chunk: bool = True) -> DataFrame
         return out
 
     schema = f"series {key}, row_id {row}, ts timestamp_ntz, value double, chunk_id long, " + ", ".join(f"{m}_type string, {m}_degree double" for m in methods)
-    return cut.select("series", "row_id", "ts", "us", "value", "t", "chunk_id").groupBy("series", "chunk_id").applyInPandas(run, schema)
+    # The chunks would stay where the windows put their series, and several long series in one task.
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    return cut.select("series", "row_id", "ts", "us", "value", "t", "chunk_id").repartition(tasks, "series", "chunk_id").groupBy("series", "chunk_id").applyInPandas(run, schema)
 
 
 def annotate(smoothed: DataFrame, methods=METHODS) -> DataFrame:
