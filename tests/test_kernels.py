@@ -397,3 +397,12 @@ def test_kernel_sums_are_those_of_the_pairs():
         got = changes._KernelSums(v, scale).at([0, 1, 8, 600, 1000], slice(1000, 1200))
         want = [k[a:b, 1000:].sum(axis=0) for a, b in ((0, 1), (1, 8), (8, 600), (600, 1000))]
         assert np.abs(got - want).max() < 1e-9
+
+
+def test_two_state_chain_takes_few_steps_of_its_stretches(monkeypatch):
+    like = np.random.default_rng(15).uniform(0.1, 1, (40_000, 2))
+    steps, maximum = [], np.maximum
+    monkeypatch.setattr(changes.np, "maximum", lambda *a, **b: steps.append(1) or maximum(*a, **b))
+    alpha, beta, scale = changes._forward_backward(like, np.array([[0.9, 0.1], [0.2, 0.8]]), np.full(2, 0.5))
+    assert len(steps) <= 50  # the root of the rows was 200
+    assert alpha[:, 0].flags.c_contiguous and (alpha * beta).sum(axis=1) == pytest.approx(np.ones(40_000))

@@ -402,46 +402,56 @@ def _forward_backward(like, move, start):
 
 
 def _by_stretches(like, move, start):
-    """The same by square-root-long stretches, all at once: each stretch's product of two by two matrices gives what
-    enters it from either side, then one pass each way fills them."""
+    """The same by stretches, all at once: each stretch's product of two by two matrices gives what enters it from
+    either side, then one pass each way fills them. What enters is found in plain numbers, so there can be many stretches.
+    A state's column is contiguous here and in what is returned."""
     n = len(like)
-    size = int(np.sqrt(n))
+    size = int(np.sqrt(n)) // 4
     parts = -(-n // size)
-    rows = np.ones((parts * size, 2))
-    rows[:n] = like
-    rows = np.ascontiguousarray(rows.reshape(parts, size, 2).transpose(1, 2, 0))
-    (ma, mb), (mc, md) = move
+    rows = np.ones((2, parts * size))
+    rows[:, :n] = like.T
+    rows = np.ascontiguousarray(rows.reshape(2, parts, size).transpose(2, 0, 1))
+    (ma, mb), (mc, md) = move.tolist()
     a, b, c, d = np.ones(parts), np.zeros(parts), np.zeros(parts), np.ones(parts)
     for u, w in rows:
         a, b, c, d = a * u, b * w, c * u, d * w
         a, b, c, d = a * ma + b * mc, a * mb + b * md, c * ma + d * mc, c * mb + d * md
         total = a + b + c + d
-        a, b, c, d = a / total, b / total, c / total, d / total
-    before, after = np.empty((2, parts)), np.ones((2, parts))
-    p = start
-    for i in range(parts):
-        before[:, i] = p
-        p = np.array([p[0] * a[i] + p[1] * c[i], p[0] * b[i] + p[1] * d[i]])
-        p = p / p.sum()
+        a /= total
+        b /= total
+        c /= total
+        d /= total
+    products = np.stack([a, b, c, d], axis=1).tolist()
+    before, after = np.empty((parts, 2)), np.ones((parts, 2))
+    p, q = start.tolist()
+    for i, (a, b, c, d) in enumerate(products):
+        before[i] = p, q
+        p, q = p * a + q * c, p * b + q * d
+        p, q = p / (p + q), q / (p + q)
+    p = q = 1.0
     for i in range(parts - 1, 0, -1):
-        p = np.array([a[i] * after[0, i] + b[i] * after[1, i], c[i] * after[0, i] + d[i] * after[1, i]])
-        after[:, i - 1] = p / p.sum()
+        a, b, c, d = products[i]
+        p, q = a * p + b * q, c * p + d * q
+        p, q = after[i - 1] = p / (p + q), q / (p + q)
     alpha, beta, scale = np.empty(rows.shape), np.empty(rows.shape), np.empty((size, parts))
-    p, q = before
+    p, q = before.T.copy()
     for i, (u, w) in enumerate(rows):
         p, q = p * u, q * w
-        scale[i] = np.maximum(p + q, 1e-300)
-        p, q = alpha[i] = np.stack([p, q]) / scale[i]
+        np.maximum(p + q, 1e-300, out=scale[i])
+        p, q = np.divide(p, scale[i], out=alpha[i, 0]), np.divide(q, scale[i], out=alpha[i, 1])
         p, q = p * ma + q * mc, p * mb + q * md
-    p, q = after
+    p, q = after.T.copy()
     for i in range(size - 1, -1, -1):
         p, q = p * ma + q * mb, p * mc + q * md
         # Scaled as in the recursion: with alpha it sums to 1.
-        p, q = beta[i] = np.stack([p, q]) / (alpha[i, 0] * p + alpha[i, 1] * q)
+        total = alpha[i, 0] * p
+        total += alpha[i, 1] * q
+        p, q = np.divide(p, total, out=beta[i, 0]), np.divide(q, total, out=beta[i, 1])
         p, q = p * rows[i, 0], q * rows[i, 1]
         total = p + q
-        p, q = p / total, q / total
-    back = lambda x: x.transpose(2, 0, 1).reshape(-1, 2)[:n]
+        p /= total
+        q /= total
+    back = lambda x: x.transpose(1, 2, 0).reshape(2, -1)[:, :n].T
     return back(alpha), back(beta), scale.T.ravel()[:n]
 
 
@@ -471,24 +481,36 @@ def hmm(t, v, rounds: int = 100, tol: float = 1e-2):
     if mean[0] == mean[1]:
         mean = mean + np.array([-0.5, 0.5])
     move, start, last = np.array([[0.9, 0.1], [0.1, 0.9]]), np.full(2, 0.5), -np.inf
+    # One line a state, which is contiguous in long segments.
     for _ in range(rounds):
-        like = np.exp(-0.5 * (x[:, None] - mean) ** 2 / var) / np.sqrt(2 * np.pi * var) + 1e-300
-        alpha, beta, scale = _forward_backward(like, move, start)
+        like = x - mean[:, None]
+        like *= like
+        like *= -0.5 / var[:, None]
+        np.exp(like, out=like)
+        like /= np.sqrt(2 * np.pi * var)[:, None]
+        like += 1e-300
+        alpha, beta, scale = _forward_backward(like.T, move, start)
+        alpha, beta = alpha.T, beta.T
         post = alpha * beta
-        post /= post.sum(axis=1, keepdims=True)
-        pairs = alpha[:-1].T @ (like[1:] * beta[1:] / scale[1:, None]) * move
-        start = post[0]
+        post /= post[0] + post[1]
+        like *= beta
+        like /= scale
+        pairs = alpha[:, :-1] @ like[:, 1:].T * move
+        start = post[:, 0]
         move = (pairs * 1.0 + 1e-12) / (pairs.sum(axis=1, keepdims=True) + 2e-12)
-        mass = post.sum(axis=0) + 1e-12
-        mean = (post * x[:, None]).sum(axis=0) / mass
-        var = np.maximum((post * (x[:, None] - mean) ** 2).sum(axis=0) / mass, 1e-3)
+        mass = post.sum(axis=1) + 1e-12
+        mean = post @ x / mass
+        far = x - mean[:, None]
+        far *= far
+        far *= post
+        var = np.maximum(far.sum(axis=1) / mass, 1e-3)
         total = np.log(scale).sum()
         if total - last < tol:
             break
         last = total
     like = -0.5 * (x[:, None] - mean) ** 2 / var - 0.5 * np.log(2 * np.pi * var)
     path = _likeliest(like, move, start)
-    degrees = post[:, int(np.bincount(path, minlength=2).argmin())]
+    degrees = post[int(np.bincount(path, minlength=2).argmin())]
     turns = np.flatnonzero(np.diff(path)) + 1
     near = np.unique(np.clip(np.r_[turns - 1, turns + 1], 0, n - 1))
     types[near] = "transition"
