@@ -11,6 +11,8 @@ from tidemark.series import observed
 
 DETECTORS = {"bocpd": changes.bocpd, "bocpd_run_length": changes.bocpd_run_length, "kcp": changes.kcp, "kalman": changes.kalman, "hmm": changes.hmm}
 METHODS = ("bocpd", "kcp", "kalman", "hmm")
+#: Among fewer tasks a few long series would often share one.
+LEAST_TASKS = 128
 #: What each method calls a change when markers are asked for alarms.
 ALARMS = {"kalman": "adverse"}
 
@@ -36,8 +38,7 @@ def detect(rows: DataFrame, methods=METHODS, by_chunk: bool = True) -> DataFrame
 
     schema = f"series {key}, row_id {row}, ts timestamp_ntz, value double, chunk_id long, " + ", ".join(f"{m}_type string, {m}_degree double" for m in methods)
     # The chunks would stay where the windows put their series, and several long series in one task.
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_TASKS)
     return cut.select("series", "row_id", "ts", "us", "value", "t", "chunk_id").repartition(tasks, "series", "chunk_id").groupBy("series", "chunk_id").applyInPandas(run, schema)
 
 
